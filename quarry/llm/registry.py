@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import substring_dedup, suffix_dedup
+from quarry.llm import simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_simhash": simhash.op5_simhash,
     }
 
 
