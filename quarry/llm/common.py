@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+def stash(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage durably.
 
     Shuffle files of the finished jobs are released, so that a long operator doesn't
@@ -44,7 +44,7 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     back = spark.read.schema(df.schema).parquet(path)
     del df
     gc.collect()

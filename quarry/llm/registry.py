@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import simhash, substring_dedup, suffix_dedup
+from quarry.llm import simhash, substring_dedup, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_simhash": simhash.op5_simhash,
+        "op6_token_files": token_files.op6_token_files,
     }
 
 
