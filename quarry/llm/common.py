@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and
 #: carriage return. ``bytes.split()`` splits UTF-8 at exactly these bytes.
@@ -92,3 +94,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+def on_texts(fn: Callable[[list[str | None]], list], returns: str) -> Callable[[Column], Column]:
+    """A column function over whole texts, in Arrow batches of bounded bytes; evaluated once for each row."""
+    def apply(texts: Column) -> Column:
+        kind = to_arrow_type(_parse_datatype_string(returns))
+
+        def run(texts: pa.Array) -> pa.Array:
+            parts = [pa.array(fn(piece.column(0).to_pylist()), kind) for piece in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text")]
+            return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        return F.arrow_udf(run, returns).asNondeterministic()(texts)
+
+    return apply

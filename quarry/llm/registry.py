@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import simhash, substring_dedup, suffix_dedup, token_files
+from quarry.llm import pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": quality.op1_quality_rules,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_pseudonyms": pseudonyms.op3_pseudonyms,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_simhash": simhash.op5_simhash,
         "op6_token_files": token_files.op6_token_files,
@@ -19,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": quality.OP1_SQL}
