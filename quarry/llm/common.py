@@ -96,16 +96,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def on_texts(fn: Callable[[list[str | None]], list], returns: str) -> Callable[[Column], Column]:
-    """A column function over whole texts, in Arrow batches of bounded bytes; evaluated once for each row."""
+def on_text_batches(fn: Callable[[pa.Array], list], returns: str) -> Callable[[Column], Column]:
+    """A column function over whole texts, in Arrow arrays of bounded bytes; evaluated once for each row."""
+
     def apply(texts: Column) -> Column:
         kind = to_arrow_type(_parse_datatype_string(returns))
 
         def run(texts: pa.Array) -> pa.Array:
-            parts = [pa.array(fn(piece.column(0).to_pylist()), kind) for piece in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text")]
+            parts = [pa.array(fn(piece.column(0)), kind) for piece in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text")]
             return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
         run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
         return F.arrow_udf(run, returns).asNondeterministic()(texts)
 
     return apply
+
+
+def on_texts(fn: Callable[[list[str | None]], list], returns: str) -> Callable[[Column], Column]:
+    """As ``on_text_batches``, with the texts as Python strings."""
+    return on_text_batches(lambda texts: fn(texts.to_pylist()), returns)
+
+
+#: Small letters, digits and bytes beyond ASCII stay; capital letters become small, all else a space.
+PLAIN = np.array([c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint8)
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Words without case and punctuation."""
+    return (text or "").encode().translate(PLAIN.tobytes()).split()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_files
+from quarry.llm import decontamination, pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_simhash": simhash.op5_simhash,
         "op6_token_files": token_files.op6_token_files,
+        "op7_decontamination": decontamination.op7_decontamination,
     }
 
 
