@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontamination, mixing, pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_files
+from quarry.llm import decontamination, licenses, mixing, pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": simhash.op5_simhash,
         "op6_token_files": token_files.op6_token_files,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_licenses": licenses.op8_licenses,
         "op10_mixing": mixing.op10_mixing,
     }
 
