@@ -68,10 +68,10 @@ def occurrences(docs: DataFrame, kind: Kind) -> DataFrame:
     return docs.mapInArrow(find, OCCURRENCE)
 
 
-def repeated_contexts(docs: DataFrame, kind: Kind) -> DataFrame:
+def repeated_contexts(docs: DataFrame, kind: Kind, tag: str) -> DataFrame:
     """Occurrences in seeds met twice or more, with how often their context (n) and how many contexts the seed (k) has."""
     found = occurrences(docs, kind)
-    counted = found.groupBy("seed", "context").agg(F.count("*").alias("n"))
+    counted = stash(found.groupBy("seed", "context").agg(F.count("*").alias("n")), f"{tag}-counts")
     seeds = counted.groupBy("seed").agg(F.count("*").alias("k"), F.sum("n").alias("met")).where("met > 1").drop("met")
     return found.join(counted.join(seeds, "seed"), ["seed", "context"])
 
@@ -216,7 +216,7 @@ def met_twice(key: np.ndarray, value: np.ndarray, counts: np.ndarray) -> np.ndar
 def removed_spans(documents: DataFrame, kind: Kind, compare: Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]], block_bytes: int, tag: str) -> DataFrame:
     """doc_id, text, tk and ``spans``: array of (first, runs, mask) of repeated windows; null if none."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tk", text_key())
-    hits = stash(repeated_contexts(docs, kind), f"{tag}-hits")
+    hits = stash(repeated_contexts(docs, kind, tag), f"{tag}-hits")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, block_bytes):
