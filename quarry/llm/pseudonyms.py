@@ -171,9 +171,10 @@ _FOUND = [(kind, re.compile(rf"(?<![\w.+-])(?:{p})(?![\w-])(?!\.\d)" if kind not
 _ANY = re.compile(r"[0-9@=:]|AKIA")
 
 
-def pseudonymise(text: str | None, key: bytes = KEY, back: bool = False) -> dict:
+def replacements(text: str | None, key: bytes = KEY, back: bool = False) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of each value found, in order."""
     if text is None or not _ANY.search(text):
-        return {"n_found": 0, "matches": [], "text": text}
+        return []
     taken: list[tuple[int, int, str, str]] = []
     for kind, pattern, rule in _FOUND:
         for m in pattern.finditer(text):
@@ -183,7 +184,13 @@ def pseudonymise(text: str | None, key: bytes = KEY, back: bool = False) -> dict
             new = rule(m[0], key, back)
             if new is not None:
                 taken.append((start, end, kind, new))
-    taken.sort()
+    return sorted(taken)
+
+
+def pseudonymise(text: str | None, key: bytes = KEY, back: bool = False) -> dict:
+    taken = replacements(text, key, back)
+    if not taken:
+        return {"n_found": 0, "matches": [], "text": text}
     out, at = [], 0
     for start, end, _, new in taken:
         out += [text[at:start], new]

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontamination, licenses, mixing, pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_files
+import corpus_pipeline
+from quarry.llm import decontamination, licenses, mixing, pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +20,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_files": token_files.op6_token_files,
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_licenses": licenses.op8_licenses,
+        "op9_token_counts": token_counts.op9_token_counts,
         "op10_mixing": mixing.op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL}
+    return {"op1_quality_rules": quality.OP1_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
