@@ -11,17 +11,19 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces whose ids a worker keeps; the table starts anew when it is full.
-KEPT = 600_000
+#: Pieces met again, and pieces met once, whose ids a worker keeps; a table starts anew when it is full.
+KEPT = 500_000
 #: Pieces of the new ones that go to the tokenizer as one string.
 TOGETHER = 512
 
-#: Texts in which white space follows white space, or with white space of another kind, are cut by no rule.
-_UNUSUAL = re.compile(r"[ \n][ \n]|[^\S \n]|[\x1c-\x1f\x85]")
+#: White space other than space and line feed, and what counts as such in some libraries.
+_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -47,6 +49,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
         # a tab between two pieces is a token of its own, which no piece contains
         self.tab = self.tokenizer.encode("\t", add_special_tokens=False).ids
 
@@ -70,24 +73,38 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out = [b""] * len(texts)
         whole, rest, new = [], [], set()
-        if len(self.known) > KEPT:
-            self.known.clear()
+        for table in (self.known, self.once):
+            if len(table) > KEPT:
+                table.clear()
         get = self.known.get
         for i, text in enumerate(texts):
-            if _UNUSUAL.search(text):
+            spaced = "\t" + text.replace("\n", " \n")
+            if "\t" in text or "  " in spaced or "\n " in spaced or spaced[-1] in " \n":  # a tab, white space after white space, or last
                 whole.append(i)
                 continue
-            keys = ("\t" + text.replace("\n", " \n")).split(" ")
+            keys = spaced.split(" ")
             got = list(map(get, keys))
-            if None in got:
-                rest.append((i, keys))
-                new.update(set(keys).difference(self.known))
+            if missing := list(compress(range(len(keys)), map(not_, got))):
+                rest.append((i, keys, got, missing))
+                new.update([keys[j] for j in missing])
             else:
                 out[i] = b"".join(got)
-        if new:
-            self._learn(list(new))
-        for i, keys in rest:
-            out[i] = b"".join(map(self.known.__getitem__, keys))
+        if _OTHER_SPACE.search("".join(new).replace("\t", "")):  # such pieces are never kept, so they are all new
+            odd = {k for k in new if _OTHER_SPACE.search(k.replace("\t", ""))}
+            whole += [i for i, keys, _, missing in rest if not odd.isdisjoint([keys[j] for j in missing])]
+            rest = [r for r in rest if odd.isdisjoint([r[1][j] for j in r[3]])]
+            new -= odd
+        new.discard("\t")
+        self.known["\t"] = b""  # a text that starts with white space: no first piece
+        again = [k for k in new if k in self.once]
+        self.known.update((k, self.once.pop(k)) for k in again)
+        new = list(new.difference(again))
+        self._learn(new)
+        for i, keys, got, missing in rest:
+            for j in missing:
+                got[j] = self.known[keys[j]]
+            out[i] = b"".join(got)
+        self.once.update((k, self.known.pop(k)) for k in new)
         for i, ids in zip(whole, self.plain([texts[i] for i in whole])):
             out[i] = ids.tobytes()
         return out
