@@ -6,8 +6,12 @@ the top k of each query, and the branches meet in a union and one aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,11 +75,54 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, content: str = "content")
     return weighed.select("token", "chunk_id", score.alias("s")).join(asked, "token").groupBy("query_id", "chunk_id").agg(F.sum(F.col("s") * F.col("qtf")).alias("score")).where("score > 0")
 
 
-def cosine_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score for every query of a stated set against all vectors; queries without length match nothing."""
-    own = vectors.select("chunk_id", F.col("embedding").alias("v"))
-    asked = queries.select("query_id", F.col("embedding").alias("q")).where(numeric.norm(F.col("q")) > 0)
-    return own.join(F.broadcast(asked)).select("query_id", "chunk_id", numeric.cosine(F.col("q"), F.col("v")).alias("score"))
+def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, places: int = 6) -> DataFrame:
+    """query_id, chunk_id, score: the k best vectors of each query of a stated set, exactly.
+
+    Queries pass the driver in blocks of ``block`` vectors; in each pass a task multiplies
+    batches of vectors with the block and keeps its own k best, so that only k rows for each
+    query and task are shuffled. Vectors or queries without length or of another dimension match nothing.
+    Scores equal to ``places`` places are in order of the id.
+    """
+    own = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")).where(F.col("q").isNotNull() & (numeric.norm(F.col("q")) > 0))
+    found, held = None, []
+
+    def search(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        q = q / np.linalg.norm(q, axis=1, keepdims=True)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best_score, best_id = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+            for batch in batches:
+                lists = batch.column("v")
+                fits = np.asarray(pa.compute.list_value_length(lists)) == q.shape[1]
+                v = lists.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                id_ = batch.column("chunk_id").to_numpy(zero_copy_only=False)[fits]
+                size = np.linalg.norm(v, axis=1)
+                v, id_ = v[size > 0] / size[size > 0, None], id_[size > 0]
+                scores = np.concatenate([best_score, q @ v.T], axis=1)
+                ids_ = np.concatenate([best_id, np.broadcast_to(id_, (len(q), len(id_)))], axis=1)
+                order = np.lexsort((ids_, -np.round(scores, places)))[:, :k]
+                best_score, best_id = np.take_along_axis(scores, order, 1), np.take_along_axis(ids_, order, 1)
+            n = best_score.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_id.ravel()), pa.array(best_score.ravel())], names=["query_id", "chunk_id", "score"])
+
+        return own.mapInArrow(run, "query_id long, chunk_id long, score double")
+
+    def flush() -> None:
+        nonlocal found, held
+        if held:
+            part = search(np.array([r["query_id"] for r in held], np.int64), np.array([r["q"] for r in held]))
+            found = part if found is None else found.unionByName(part)
+            held = []
+
+    for r in asked.toLocalIterator():
+        if held and (len(held) == block or len(r["q"]) != len(held[0]["q"])):
+            flush()
+        held.append(r)
+    flush()
+    if found is None:
+        return own.select(F.col("chunk_id").alias("query_id"), "chunk_id", F.lit(0.0).alias("score")).where(F.lit(False))
+    return top(found, k, places=places).drop("rank")
 
 
 def top(scores: DataFrame, k: int, by: str = "score", key: str = "query_id", tie: str = "chunk_id", places: int = 6) -> DataFrame:
@@ -172,5 +219,38 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, filters:
     """The hybrid search: both branches' best, fused, visible, with evidence. Filters cut hits, never the statistics."""
     keep = chunks.where(filters.predicate(chunks.columns)).select("chunk_id")
     words = top(bm25_scores(queries, chunks).join(keep, "chunk_id", "left_semi"), each)
-    near = top(cosine_scores(queries, vectors).join(keep, "chunk_id", "left_semi"), each)
+    near = top(cosine_top(queries, vectors.join(keep, "chunk_id", "left_semi"), each), each)
     return evidence(fuse(near, words), chunks, role=role, k=k)
+
+
+def page_search(cases: DataFrame, pages: DataFrame, vectors: DataFrame, k: int = 5, each: int = 20) -> DataFrame:
+    """query_id, chunk_id, rank: page-level search within each case's scope, by shared tokens and cosine, fused.
+
+    cases: query_id, query, scope array, embedding; pages: chunk_id, document_id, content. A
+    page's keyword rank is by the number of different tokens it shares with the query.
+    """
+    scoped = cases.select("query_id", F.explode("scope").alias("document_id"))
+    asked = cases.select("query_id", F.explode(text.token_set(F.col("query"))).alias("token"))
+    own = pages.select("chunk_id", "document_id", F.explode(text.token_set(F.col("content"))).alias("token"))
+    shared = own.join(asked, "token").groupBy("query_id", "chunk_id", "document_id").agg(F.count("*").alias("score"))
+    words = top(shared.join(scoped, ["query_id", "document_id"], "left_semi"), each)
+    allowed = pages.select("chunk_id", "document_id").join(vectors, "chunk_id").join(scoped, "document_id").join(cases.select("query_id", F.col("embedding").alias("q")), "query_id")
+    near = top(allowed.select("query_id", "chunk_id", numeric.cosine(F.col("q"), F.col("embedding")).alias("score")), each)
+    return top(fuse(near, words), k)
+
+
+# Phrases that name pages of a scanned source, and the pages.
+PAGE_PHRASES = [(["前两页", "两页", "页脚", "客观题部分"], [1, 2]), (["第一页", "第1页"], [1]), (["第二页", "第2页"], [2])]
+
+
+def explicit_pages(query: Column) -> Column:
+    """Array of the pages that a query names, by the first kind of phrase it has; empty if none."""
+    out = F.when(F.lit(False), F.array().cast("array<int>"))
+    for phrases, pages in PAGE_PHRASES:
+        out = out.when(text.any_of(query, phrases), F.array(*map(F.lit, pages)))
+    return out.otherwise(F.array().cast("array<int>"))
+
+
+def relabelled(used: Column, labels: Column) -> Column:
+    """Labels such as REF_1 as chunk ids; unknown ones stay."""
+    return F.transform(used, lambda r: F.coalesce(labels[r], r))

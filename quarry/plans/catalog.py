@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from quarry.plans import evaluation, ingestion, learning, reports, retrieval, scalars, streams, validation  # noqa: F401
+from quarry.plans.registry import ORACLE, QUERIES  # noqa: F401
+from quarry.plans.retrieval import flagship  # noqa: F401
