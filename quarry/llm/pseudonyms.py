@@ -177,9 +177,12 @@ def replacements(text: str | None, key: bytes = KEY, back: bool = False) -> list
         return []
     taken: list[tuple[int, int, str, str]] = []
     for kind, pattern, rule in _FOUND:
+        earlier, at = sorted(taken), 0  # of the rules before; a rule's own matches don't overlap
         for m in pattern.finditer(text):
             start, end = m.span()
-            if any(start < e and s < end for s, e, _, _ in taken):
+            while at < len(earlier) and earlier[at][1] <= start:
+                at += 1
+            if at < len(earlier) and earlier[at][0] < end:
                 continue
             new = rule(m[0], key, back)
             if new is not None:
