@@ -49,7 +49,7 @@ OCR_TYPES = {"text": "text", "paragraph": "text", "title": "text", "formula": "f
 def ocr_blocks(raw: DataFrame) -> DataFrame:
     """OCR items (type, text, bbox of 4 or 8 numbers, confidence) as blocks: the bounding rectangle, the type, table text."""
     box = F.col("bbox")
-    xs, ys = (F.filter(box, lambda x, i, r=r: i % 2 == r) for r in (0, 1))
+    xs, ys = F.filter(box, lambda x, i: i % 2 == 0), F.filter(box, lambda x, i: i % 2 == 1)
     rect = F.when(F.size(box) == 4, box).when(F.size(box) == 8, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))).otherwise(F.array(*[F.lit(0.0)] * 4))
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in OCR_TYPES.items() for x in kv])[F.col("type")], F.lit("text"))
     body = F.coalesce(F.col("text"), F.lit(""))

@@ -97,7 +97,7 @@ def upload_error(name: Column, content: Column, declared: Column | None = None,
 
 
 def read_uploads(spark: SparkSession, path: str, most_mb: int = 100) -> DataFrame:
-    """name, size, sha256 and error of each file."""
+    """name, size, sha256 and error of each file; Spark's reader leaves out files without bytes."""
     f = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return f.select(name.alias("name"), F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), upload_error(name, F.col("content"), most_mb=most_mb).alias("error"))
