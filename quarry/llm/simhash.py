@@ -8,6 +8,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import load, slices, stash
@@ -113,11 +114,11 @@ def _plan(fps: DataFrame, distance: int) -> list[tuple[int, list[int], int]]:
     """(mask, bits, threshold) of the partitions to probe: unequal thresholds that sum to distance - m + 1."""
     correlation, p = agreement(fps)
     choices = {m: group_bits(correlation, m) for m in (2, 3, 4)}
-    # pairs that agree in a whole partition, from the sizes of all its buckets
+    # candidates that agree in a whole partition, from the sizes of all its buckets: pairs in small ones, a row for each bit and member in large ones
     masks = [(m, g, _mask(bits)) for m, groups in choices.items() for g, bits in enumerate(groups)]
     sizes = (
         fps.select(F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(mask)).alias("v")) for m, g, mask in masks])).alias("x"))
-        .groupBy("x.m", "x.g", "x.v").count().groupBy("m", "g").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("pairs"))
+        .groupBy("x.m", "x.g", "x.v").count().groupBy("m", "g").agg(F.sum("count").alias("n"), F.sum(F.when(F.col("count") <= PAIRS, F.col("count") * F.col("count")).otherwise(F.col("count") * 64)).alias("pairs"))
     )
     known = {(r["m"], r["g"]): (r["n"], r["pairs"]) for r in sizes.collect()}
     same = p**2 + (1 - p) ** 2
@@ -164,7 +165,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         reach = F.when(F.col("spent"), F.array(F.lit(0).cast("long"))).otherwise(F.concat(F.array(F.lit(0).cast("long")), flips(rest)))
         outside = F.col("fp").bitwiseAND(F.lit(~mask if mask >= 0 else ~mask))
         stands = large.select("fp", "v", F.explode(F.transform(reach, lambda f: outside.bitwiseXOR(f))).alias("z"))
-        stars = stands.join(stands.groupBy("v", "z").agg(F.min("fp").alias("b")), ["v", "z"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
+        # fingerprints are different, so a value has at most one row for each bit outside the partition, and its own
+        stars = stands.withColumn("b", F.min("fp").over(W.partitionBy("v", "z"))).where("fp <> b").select(F.col("fp").alias("a"), "b")
         both = pairs.unionByName(stars)
         found = both if found is None else found.unionByName(both)
     return found
