@@ -87,7 +87,7 @@ def _refill(value: str, digits: str) -> str:
 def card(value: str, key: bytes, back: bool = False) -> str | None:
     """13 to 19 digits with a right check digit: all but the first and the check digit are permuted, the check digit follows."""
     d = re.sub(r"\D", "", value)
-    if not 13 <= len(d) <= 19 or d[0] not in "23456" or luhn_digit(d[:-1]) != d[-1]:
+    if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1]:
         return None
     payload = d[0] + permuted_digits(d[1:-1], key, f"card{d[0]}", back)
     return _refill(value, payload + luhn_digit(payload))

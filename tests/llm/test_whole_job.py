@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import near_copies
+from quarry.llm import near_copies, pseudonyms
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -60,3 +60,13 @@ def test_pipeline_near_dedup_keeps_one_of_each_group(spark, pairs, monkeypatch):
     assert 12 < len(want) < len(rows) - 15
     kept = corpus_pipeline.near_dedup(spark, table(spark, rows), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+
+
+def test_op3_cards_of_any_first_digit():
+    for first in "0123456789":
+        for size in (13, 16, 19):
+            payload = first + "27182818284590452"[: size - 2]
+            text = f"card {payload}{pseudonyms.luhn_digit(payload)} end"
+            new = pseudonyms.pseudonymise(text)
+            assert new["n_found"] == 1 and new["matches"][0]["kind"] == "card" and new["text"] != text
+            assert pseudonyms.pseudonymise(new["text"], back=True)["text"] == text
