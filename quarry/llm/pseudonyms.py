@@ -19,6 +19,8 @@ from quarry.llm.common import load, on_texts
 
 KEY = b"quarry public demonstration key"
 ROUNDS = 10
+#: Country codes are 1, 7, these, or else three digits; none is the start of another.
+CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -94,11 +96,11 @@ def card(value: str, key: bytes, back: bool = False) -> str | None:
 
 
 def phone(value: str, key: bytes, back: bool = False) -> str | None:
-    """8 to 15 digits after +, or ten: the digits after the country code are permuted."""
+    """8 to 15 digits after +, or ten: the digits after the country code (up to a separator, else by list) are permuted."""
     d = re.sub(r"\D", "", value)
     code = re.match(r"\+(\d{1,3})(?=[ (.-])", value)
-    keep = len(code[1]) if code else 0
-    if not (8 <= len(d) <= 15 if code else len(d) == 10):
+    keep = len(code[1]) if code else CODE.match(d).end() if value[0] == "+" else 0
+    if not (8 <= len(d) <= 15 if value[0] == "+" else len(d) == 10):
         return None
     return _refill(value, d[:keep] + permuted_digits(d[keep:], key, f"phone{d[:keep]}", back))
 
@@ -127,18 +129,25 @@ def address(value: str, key: bytes, back: bool = False) -> str | None:
 
 
 def date(value: str, key: bytes, back: bool = False) -> str | None:
-    """A day from 1900 to 2099, written yyyy-mm-dd or dd/mm/yyyy (or with . or -): a permutation of these days."""
+    """A day from 1900 to 2099, written yyyy-mm-dd, dd/mm/yyyy or, if that is no day, mm/dd/yyyy (or with . or -): a permutation of these days.
+
+    A month-first day's pseudonym is month-first too, and has a day over 12, so that it reads no other way.
+    """
     m = re.fullmatch(r"(\d{4})([-/.])(\d{2})\2(\d{2})", value)
-    year_first = bool(m)
-    m = m or re.fullmatch(r"(\d{2})([-/.])(\d{2})\2(\d{4})", value)
-    try:
-        day = datetime.date(int(m[1]), int(m[3]), int(m[4])) if year_first else datetime.date(int(m[4]), int(m[3]), int(m[1]))
-    except ValueError:
-        return None
-    if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
-        return None
-    new = datetime.date.fromordinal(FIRST_DAY + permuted(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", back))
-    return new.strftime(f"%Y{m[2]}%m{m[2]}%d" if year_first else f"%d{m[2]}%m{m[2]}%Y")
+    orders = [("Ymd", m)] if m else [(o, re.fullmatch(r"(\d{2})([-/.])(\d{2})\2(\d{4})", value)) for o in ("dmY", "mdY")]
+    for order, m in orders:
+        part = dict(zip(order, (int(m[1]), int(m[3]), int(m[4]))))
+        try:
+            day = datetime.date(part["Y"], part["m"], part["d"])
+        except ValueError:
+            continue
+        if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
+            return None
+        while True:
+            day = datetime.date.fromordinal(FIRST_DAY + permuted(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", back))
+            if order != "mdY" or day.day > 12:
+                return day.strftime(m[2].join(f"%{c}" for c in order))
+    return None
 
 
 def email(value: str, key: bytes, back: bool = False) -> str | None:
@@ -164,7 +173,7 @@ RULES: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("address", r"\d{1,3}(?:\.\d{1,3}){3}", address),
     ("social", r"\d{3}-\d{2}-\d{4}", social),
     ("card", r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}", card),
-    ("phone", r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}", phone),
+    ("phone", r"\+\d{10,15}(?!\d)|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}", phone),
 ]
 _FOUND = [(kind, re.compile(rf"(?<![\w.+-])(?:{p})(?![\w-])(?!\.\d)" if kind not in ("email", "secret") else rf"(?<![A-Za-z0-9])(?:{p})", re.ASCII), rule) for kind, p, rule in RULES]
 #: No rule matches a text without any of these.

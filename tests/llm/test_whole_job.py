@@ -70,3 +70,13 @@ def test_op3_cards_of_any_first_digit():
             new = pseudonyms.pseudonymise(text)
             assert new["n_found"] == 1 and new["matches"][0]["kind"] == "card" and new["text"] != text
             assert pseudonyms.pseudonymise(new["text"], back=True)["text"] == text
+
+
+def test_op3_compact_phones_and_month_first_dates():
+    for value, kind in [("+14155550123", "phone"), ("+442079460958", "phone"), ("+35312345", "phone"), ("+442079460958 2024", "phone"), ("02/29/2024", "date"), ("12-31-1999", "date"), ("01.13.2050", "date")]:
+        text = f"x {value}, y"
+        new = pseudonyms.pseudonymise(text)
+        assert [m["kind"] for m in new["matches"]] == [kind] and new["text"] != text
+        assert pseudonyms.pseudonymise(new["text"], back=True)["text"] == text
+    assert pseudonyms.phone("+14155550123", pseudonyms.KEY).replace("+1", "") == pseudonyms.phone("+1 415 555 0123", pseudonyms.KEY)[3:].replace(" ", "")
+    assert pseudonyms.pseudonymise("13/13/2024 and 02/30/2024")["n_found"] == 0
