@@ -150,8 +150,8 @@ class Index:
         return text, (passage - base[text]) * PIECE, piece, score
 
 
-def leaks_in(texts: pa.Array, indexes: list[Index], threshold: float, overlap: float) -> list[list[dict]]:
-    """For each text, the items whose question and answer both overlap one of its passages."""
+def leaks_in(texts: pa.Array, indexes: list[Index], ids: list[int | None], threshold: float, overlap: float) -> list[list[dict]]:
+    """For each text, the items whose question and answer both overlap one of its passages. The indexes know items by their place in ``ids``."""
     data, offsets = joined_bytes(texts)
     values, _, _, at = word_values(PLAIN[data], offsets)
     found: list[dict[int, dict]] = [{} for _ in range(len(texts))]
@@ -169,10 +169,10 @@ def leaks_in(texts: pa.Array, indexes: list[Index], threshold: float, overlap: f
                 shares.append(float(np.isin(wanted, hashes[length][at[text] + lo : at[text] + max(lo, hi - length + 1)]).mean()))
             if min(shares) < overlap:
                 continue
-            row = {"item_id": item, "score": round(float(score), 6), "question_overlap": shares[0], "answer_overlap": shares[1], "first_word": first, "last_word": min(n, first + PASSAGE) - 1}
+            row = {"item_id": ids[item], "score": round(float(score), 6), "question_overlap": shares[0], "answer_overlap": shares[1], "first_word": first, "last_word": min(n, first + PASSAGE) - 1}
             if item not in found[text] or row["score"] > found[text][item]["score"]:
                 found[text][item] = row
-    return [sorted(x.values(), key=lambda r: r["item_id"]) for x in found]
+    return [[x[i] for i in sorted(x)] for x in found]
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, result: str = "leaks") -> DataFrame:
@@ -182,19 +182,19 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     retrieved, and stay if ``overlap`` of the 5-word shingles (all words, if fewer) of their
     question and of their answer are in the passage or within an item's length of it. Of an
     item's passages the best counts (ties: the first). Null texts and items, and those without
-    words, match nothing; items without an id are left out; of items with equal id the
-    longest counts. A benchmark of over ``MOST_BYTES`` bytes is searched in parts, each with
+    words, match nothing. Each different pair of id and text is an item; its id may be null or
+    another item's, too. A benchmark of over ``MOST_BYTES`` bytes is searched in parts, each with
     its own statistics. A column already named ``result`` is replaced.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    items = items.groupBy("item_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-total // MOST_BYTES) or 1
     column: Column = F.array().cast(LEAKS)
     for p in range(passes):
-        rows = sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).collect())
-        shared = documents.sparkSession.sparkContext.broadcast([Index(rows[i : i + SHARD]) for i in range(0, len(rows), SHARD)])
-        found = on_text_batches(lambda texts, shared=shared: leaks_in(texts, shared.value, threshold, overlap), LEAKS)(F.col("text").cast("string"))
+        rows = sorted(((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        keyed = [(k, text) for k, (_, text) in enumerate(rows)]
+        shared = documents.sparkSession.sparkContext.broadcast(([Index(keyed[i : i + SHARD]) for i in range(0, len(rows), SHARD)], [r[0] for r in rows]))
+        found = on_text_batches(lambda texts, shared=shared: leaks_in(texts, *shared.value, threshold, overlap), LEAKS)(F.col("text").cast("string"))
         column = found if p == 0 else F.concat(column, found)
     return documents.withColumn(result, column)
 

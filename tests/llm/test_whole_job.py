@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import near_copies, pseudonyms
+from quarry.llm import decontamination, near_copies, pseudonyms
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,3 +80,13 @@ def test_op3_compact_phones_and_month_first_dates():
         assert pseudonyms.pseudonymise(new["text"], back=True)["text"] == text
     assert pseudonyms.phone("+14155550123", pseudonyms.KEY).replace("+1", "") == pseudonyms.phone("+1 415 555 0123", pseudonyms.KEY)[3:].replace(" ", "")
     assert pseudonyms.pseudonymise("13/13/2024 and 02/30/2024")["n_found"] == 0
+
+
+def test_op7_items_with_equal_or_no_id(spark):
+    rng = random.Random(3)
+    items = [(i, " ".join(f"q{rng.randrange(900)}" for _ in range(n)) + ".") for i, n in [(1, 12), (1, 30), (None, 25), (None, 15), (2, 20)]]
+    docs = [(i, f"some words before {t} and after it") for i, (_, t) in enumerate(items)] + [(9, "clean")]
+    bench = spark.createDataFrame([*items, items[0], (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontamination.leaks(table(spark, docs), bench).collect()}
+    assert got == {0: [1], 1: [1], 2: [None], 3: [None], 4: [2], 9: []}
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(table(spark, docs), bench).collect()] == [9]
