@@ -90,3 +90,10 @@ def test_op7_items_with_equal_or_no_id(spark):
     got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontamination.leaks(table(spark, docs), bench).collect()}
     assert got == {0: [1], 1: [1], 2: [None], 3: [None], 4: [2], 9: []}
     assert [r["doc_id"] for r in decontamination.drop_contaminated(table(spark, docs), bench).collect()] == [9]
+
+
+def test_pipeline_near_dedup_keeps_one_row(spark):
+    t = [" ".join(f"{k}{i}" for i in range(20)) for k in "abc"]
+    rows = [(1, t[0]), (1, t[0]), (None, t[1]), (3, t[1]), (None, t[2]), (None, t[2])]
+    kept = corpus_pipeline.near_dedup(spark, table(spark, rows), "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, t[0]), (3, t[1]), (None, t[2])], key=str)
