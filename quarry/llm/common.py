@@ -26,15 +26,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a local folder is taken and set.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local folder is taken in
+    local mode, as in tests; on a cluster it would be another folder on each machine, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("quarry.shared.dir", None)
-    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file:///tmp/checkpoints/quarry"
-        spark.conf.set("quarry.shared.dir", found)
     return found.rstrip("/")
 
 
@@ -75,10 +75,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22)
 
 
 def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts one after the other, and their n+1 offsets (null: empty)."""
-    filled = pa.compute.fill_null(texts, "")
-    if not pa.types.is_large_string(filled.type):
-        filled = filled.cast(pa.large_string())
+    """UTF-8 bytes of all texts (or the bytes of all binary values) one after the other, and their n+1 offsets (null: empty)."""
+    filled = pa.compute.fill_null(texts, "") if texts.null_count else texts
+    if not (pa.types.is_large_string(filled.type) or pa.types.is_large_binary(filled.type)):
+        filled = filled.cast(pa.large_string() if pa.types.is_string(filled.type) else pa.large_binary())
     _, offsets, data = filled.buffers()
     at = np.frombuffer(offsets, np.int64)[filled.offset : filled.offset + len(filled) + 1]
     if data is None or not len(filled):
@@ -86,6 +86,23 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place of ``data``, as rows; beyond the end are 0s."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+
+
+def first_bytes(at_each: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The up to eight first bytes of stretches, as little-endian integers; shorter ones (none, if the size is negative) are padded with 0."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    return at_each[np.minimum(starts, len(at_each) - 1)].view("<u8").ravel() & _LOW[np.clip(size, 0, 8)]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers whose output bits depend on all input bits (the MurmurHash3 finaliser)."""
     x = x ^ (x >> np.uint64(33))

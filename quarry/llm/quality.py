@@ -15,8 +15,10 @@ MAX_REPEAT_PERCENT = 50
 #: A document goes if failing lines hold more than this share of its words.
 MAX_LOST_PERCENT = 30
 
+#: What ends a sentence in Latin, Cyrillic, Greek (;), Chinese, Arabic, Urdu, Indic, Ethiopic, Armenian, Khmer, Burmese and Tibetan script, or announces a list.
+ENDS, CLOSERS = ".!?:;…。！？．｡：；؟۔؛।॥።፧։។။།‽", "\"'”’»)]）」』】›"
 #: A line ends a sentence: closing quotes and brackets may follow.
-ENDED = r"""[.!?…。！？]["'”’»)\]]*[\x20\x09-\x0D]*$"""
+ENDED = rf"""[{ENDS}][{CLOSERS.replace("]", "")}\]]*[\x20\x09-\x0D]*$"""
 #: Cells of a menu, a path or a table.
 CELLS = r"[|»›]"
 MARKS = r"[#*$%&<>{}~^]"
@@ -31,8 +33,17 @@ RESULT = (
     "n_lines:long,n_bad_lines:long,n_lost_words:long,base_failed:boolean,kept:boolean,text:string>"
 )
 
-_ENDED = re.compile(ENDED[:-1] + r"\Z")
 _CELLS, _MARKS, _BOILERPLATE = re.compile(CELLS), re.compile(MARKS), re.compile(BOILERPLATE)
+#: Each phrase of BOILERPLATE has one of these; the letters are those that count as i, k or s regardless of case.
+_PARTS = ("rights", "cookie", "privacy", "terms of", "javascript", "lorem", "click", "read more", "subscribe", "sign", "log", "skip to", "add to", "share on", "ı", "i̇", "ſ")
+
+
+_ENDS = frozenset(ENDS)
+
+
+def may_have_phrases(text: str) -> bool:
+    low = text.lower()
+    return any(p in low for p in _PARTS)
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -49,9 +60,9 @@ def repeat_words(words: list[bytes]) -> int:
     return total
 
 
-def bad_line(line: str, n_words: int) -> str | None:
-    """The first rule that a line with words fails, of: punctuation, navigation, marks, shouting, boilerplate."""
-    if not _ENDED.search(line):
+def bad_line(line: str, n_words: int, phrases: bool = True) -> str | None:
+    """The first rule that a line with words fails, of: punctuation, navigation, marks, shouting, boilerplate. Without ``phrases`` it has none of the last."""
+    if line.rstrip(" \t\n\v\f\r").rstrip(CLOSERS)[-1:] not in _ENDS:
         return "punctuation"
     cells = len(_CELLS.findall(line))
     if cells >= 3 and 5 * cells >= n_words:
@@ -62,7 +73,7 @@ def bad_line(line: str, n_words: int) -> str | None:
     shouts = line.count(SHOUTS)
     if shouts >= 3 and 3 * shouts >= n_words:
         return "shouting"
-    if _BOILERPLATE.search(line):
+    if phrases and _BOILERPLATE.search(line):
         return "boilerplate"
     return None
 
@@ -73,6 +84,7 @@ def judge(text: str | None) -> dict:
     n = len(words)
     seen: set[str] = set()
     good, dup, lines, bad, lost = [], 0, 0, 0, 0
+    phrases = may_have_phrases(text)
     for line in text.split("\n"):
         n_line = len(line.encode().split())
         if not n_line:
@@ -80,7 +92,7 @@ def judge(text: str | None) -> dict:
         lines += 1
         dup += line in seen
         seen.add(line)
-        if bad_line(line, n_line):
+        if bad_line(line, n_line, phrases):
             bad += 1
             lost += n_line
         else:

@@ -7,17 +7,23 @@ hash, the seed. A stretch of windows that share an anchor is a context:
 1. Contexts are counted by (seed, context) and by seed, with map-side partial sums, so that a
    passage with a million copies is one row for each task and key. Seeds met once are dropped.
 2. A context met twice or more is repeated in all its windows: no text is moved for it.
-3. Of the other seeds with several contexts, one stretch of elements for each different
-   context goes to the seed's task, where ``compare`` (the operator's own method) says which
-   windows are repeated. Seeds with more than ``HOT`` contexts are dealt by a longer stretch
-   around the seed instead, left and right of it apart, so that no task needs a whole group.
+3. The other contexts, one of each, go to the operator's own method: ``by_levels`` counts ever
+   longer stretches, with nothing but sums by key; ``by_blocks`` brings the contexts of a
+   seed together for an operator that compares them, if there are at most ``HOT``; those of a
+   seed with more are counted by levels, so that no task holds a group of any size.
 4. Repeated windows return to their documents and become removed elements.
 
-No step pairs documents, collects a group on the driver or limits a group's size.
+Contexts, longer stretches and windows are known by 64 bits of BLAKE2b of their own bytes,
+within one seed; the polynomial hashes only choose anchors and group. Two different
+stretches of one seed count as equal with a chance of 2**-64.
+
+No step pairs documents, collects a group on the driver or limits a group's size. A hot key
+of a join is one side's single row; Spark splits the other side (adaptive skew join).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,12 +34,15 @@ from pyspark.sql import functions as F
 from quarry.llm.common import joined_bytes, mixed, slices, stash, text_key
 from quarry.llm.rolling import Stretches, anchors, byte_values, word_values
 
-#: Contexts of one seed beyond which a longer stretch deals them out.
-HOT = 5000
+#: Contexts of one seed that a task compares together at most.
+HOT = 1000
+#: Bytes of text that a task handles at once.
+SLICE = 1 << 20
 
 OCCURRENCE = "doc_id long, tk long, first int, lead int, runs int, seed long, context long"
-CONTEXT = "key long, seed long, context long, lead int, lo int, hi int, body binary"
-VERDICT = "seed long, context long, lo int, mask binary"
+BODY = "seed long, context long, lead int, runs int, body binary"
+LEVELS = "seed long, context long, split int, left long, right long, windows array<long>"
+MASK = "seed long, context long, lo int, mask binary"
 
 
 class Kind:
@@ -44,24 +53,58 @@ class Kind:
         #: Length of a stretch around the gram, one of two (its left or its right) in each window
         self.longer = min((window + gram) // 2, 2 * gram) if words else (window + gram) // 2
 
-    def elements(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Their values, what ``body`` keeps of them, and each text's offsets."""
+    def elements(self, texts: pa.Array) -> Elements:
+        return Elements(self, texts)
+
+    def split(self, lead: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """Windows before it hold the stretch that ends with the gram, the others the one that starts with it."""
+        return np.clip(lead - (self.longer - self.gram) + 1, 0, runs)
+
+
+class Elements:
+    """The elements of a batch: their values, each text's offsets, and the bytes they stand for, words one space apart."""
+
+    def __init__(self, kind: Kind, texts: pa.Array):
         data, offsets = joined_bytes(texts)
-        if self.words:
-            values, _, _, at = word_values(data, offsets)
-            return values, values, at
-        return byte_values()[data], data, offsets
+        if kind.words:
+            self.values, starts, ends, self.offsets = word_values(data, offsets)
+            size = ends - starts + 1
+            self.at = np.zeros(len(starts) + 1, np.int64)
+            np.cumsum(size, out=self.at[1:])
+            spaced = np.full(int(self.at[-1]), 32, np.uint8)
+            inside = np.ones(len(spaced), bool)
+            inside[self.at[1:] - 1] = False
+            taken = np.zeros(len(data) + 1, np.int8)
+            np.add.at(taken, starts, 1)
+            np.add.at(taken, ends, -1)
+            spaced[inside] = data[np.cumsum(taken[:-1], dtype=np.int8) > 0]
+            self.raw, self.gap = spaced.tobytes(), 1
+        else:
+            self.values, self.offsets, self.at, self.gap = byte_values()[data], offsets, None, 0
+            self.raw = data.tobytes()
+
+    def digests(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64 bits of BLAKE2b of the bytes of each stretch of elements."""
+        if self.at is not None:
+            begin, end = self.at[begin], self.at[end] - 1
+        raw, blake2b = self.raw, hashlib.blake2b
+        return np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), end.tolist())]), np.uint64)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
 def occurrences(docs: DataFrame, kind: Kind) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            values, _, offsets = kind.elements(batch.column("text"))
+        for batch in slices(batches, "text", SLICE):
+            e = kind.elements(batch.column("text"))
             doc_id, tk = batch.column("doc_id"), batch.column("tk")
-            for first, lead, runs, seed, context in anchors(values, offsets, kind.window, kind.gram):
-                doc = np.searchsorted(offsets, first, side="right") - 1
+            for first, lead, runs, seed in anchors(e.values, e.offsets, kind.window, kind.gram):
+                doc = np.searchsorted(e.offsets, first, side="right") - 1
+                context = e.digests(first, first + runs - 1 + kind.window) ^ mixed((lead * 4096 + runs).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id.take(pa.array(doc)), tk.take(pa.array(doc)), *map(pa.array, ((first - offsets[doc]).astype(np.int32), lead.astype(np.int32), runs.astype(np.int32), seed.view(np.int64), context.view(np.int64)))],
+                    [doc_id.take(pa.array(doc)), tk.take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in (first - e.offsets[doc], lead, runs)), _signed(seed), _signed(context)],
                     names=["doc_id", "tk", "first", "lead", "runs", "seed", "context"],
                 )
 
@@ -76,111 +119,129 @@ def repeated_contexts(docs: DataFrame, kind: Kind, tag: str) -> DataFrame:
     return found.join(counted.join(seeds, "seed"), ["seed", "context"])
 
 
-def contexts(docs: DataFrame, hits: DataFrame, kind: Kind) -> DataFrame:
-    """One stretch of elements for each different context of the seeds that have several."""
-    one = hits.where("k > 1").groupBy("seed", "context").agg(F.min(F.struct("doc_id", "tk", "first", "lead", "runs")).alias("at"), F.max("k").alias("k"))
-    wanted = (
-        one.select("at.doc_id", "at.tk", F.struct("seed", "context", "at.first", "at.lead", "at.runs", (F.col("k") > HOT).alias("hot")).alias("c"))
-        .groupBy("doc_id", "tk")
-        .agg(F.collect_list("c").alias("wanted"))
-    )
-    window, gram, longer = kind.window, kind.gram, kind.longer
+def _cut(docs: DataFrame, hits: DataFrame, kind: Kind, each: Callable, schema: str) -> DataFrame:
+    """``each`` over the elements of one occurrence of every different context in ``hits``."""
+    one = hits.groupBy("seed", "context").agg(F.min(F.struct("doc_id", "tk", "first", "lead", "runs")).alias("at"))
+    wanted = one.select("at.doc_id", "at.tk", F.struct("seed", "context", "at.first", "at.lead", "at.runs").alias("c")).groupBy("doc_id", "tk").agg(F.collect_list("c").alias("wanted"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            values, kept, offsets = kind.elements(batch.column("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            e = kind.elements(batch.column("text"))
             wanted = batch.column("wanted")
             flat = wanted.flatten()
-            count = np.asarray(pa.compute.list_value_length(wanted))
-            doc = np.repeat(np.arange(batch.num_rows), count)
-            seed, context, first, lead, runs, hot = (np.asarray(flat.field(i)) for i in range(6))
-            begin = offsets[doc] + first
-            s = Stretches(values)
-            # windows whose gram lies far enough to the right share the stretch that ends with the gram
-            split = np.clip(lead - (longer - gram) + 1, 0, runs)
-            place = begin + lead
-            n = len(values)
-            left = mixed(s.at(np.maximum(place - (longer - gram), 0), np.minimum(place + gram, n)) + np.uint64(1))
-            right = mixed(s.at(place, np.minimum(place + longer, n)) + np.uint64(2))
-            whole = ~hot
-            for take, key, lo, hi in (
-                (whole, seed, np.zeros_like(runs), runs),
-                (hot & (split > 0), left.view(np.int64), np.zeros_like(runs), split),
-                (hot & (split < runs), right.view(np.int64), split, runs),
-            ):
-                i = np.flatnonzero(take)
-                if not len(i):
-                    continue
-                size = runs[i] - 1 + window
-                at = np.zeros(len(i) + 1, np.int64)
-                np.cumsum(size, out=at[1:])
-                body = kept[np.repeat(begin[i] - at[:-1], size) + np.arange(at[-1])]
-                width = body.itemsize
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *map(pa.array, (key[i], seed[i], context[i], lead[i].astype(np.int32), lo[i].astype(np.int32), hi[i].astype(np.int32))),
-                        pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer((at * width).astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())]),
-                    ],
-                    names=["key", "seed", "context", "lead", "lo", "hi", "body"],
-                )
+            doc = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(wanted)))
+            seed, context, first, lead, runs = (np.asarray(flat.field(i)) for i in range(5))
+            for at in range(0, len(seed), 4096):
+                part = slice(at, at + 4096)
+                yield each(e, seed[part], context[part], e.offsets[doc[part]] + first[part], lead[part], runs[part])
+
+    wanted = wanted.withColumnsRenamed({"doc_id": "w_id", "tk": "w_tk"})
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["w_id"]) & (docs["tk"] == wanted["w_tk"])).select("text", "wanted").mapInArrow(run, schema)
+
+
+def by_levels(docs: DataFrame, hits: DataFrame, kind: Kind, tag: str) -> DataFrame:
+    """(seed, context, at): the windows, by their place in the context, that are repeated among the contexts of ``hits``.
+
+    Level-wise: seeds are repeated grams. Of each context, the stretches of ``longer`` elements
+    to the left and right of the gram are counted; windows around one met once are dropped.
+    Those left are counted at their full length. Each level is a sum by key.
+    """
+
+    def each(e: Elements, seed, context, begin, lead, runs) -> pa.RecordBatch:
+        place, n = begin + lead, len(e.values)
+        split = kind.split(lead, runs)
+        left = e.digests(np.maximum(place - (kind.longer - kind.gram), 0), place + kind.gram)
+        right = e.digests(place, np.minimum(place + kind.longer, n)) ^ np.uint64(1)
+        ends = np.cumsum(runs, dtype=np.int64)
+        start = np.repeat(begin - (ends - runs), runs) + np.arange(ends[-1] if len(ends) else 0)
+        windows = e.digests(start, start + kind.window)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), _signed(windows))
+        return pa.RecordBatch.from_arrays([pa.array(seed), pa.array(context), pa.array(split.astype(np.int32)), _signed(left), _signed(right), lists], names=["seed", "context", "split", "left", "right", "windows"])
+
+    levels = stash(_cut(docs, hits, kind, each, LEVELS), f"{tag}-levels")
+    sides = F.array(
+        F.struct(F.col("left").alias("stretch"), F.lit(0).alias("lo"), F.expr("slice(windows, 1, split)").alias("windows")),
+        F.struct(F.col("right").alias("stretch"), F.col("split").alias("lo"), F.expr("slice(windows, split + 1, size(windows) - split)").alias("windows")),
+    )
+    half = levels.select("seed", "context", F.explode(sides).alias("s")).select("seed", "context", "s.*").where(F.size("windows") > 0)
+    again = half.groupBy("seed", "stretch").agg(F.count("*").alias("met")).where("met > 1").select("seed", "stretch")
+    full = half.join(again, ["seed", "stretch"], "left_semi").select("seed", "context", "lo", F.posexplode("windows").alias("i", "window"))
+    again = full.groupBy("seed", "window").agg(F.count("*").alias("met")).where("met > 1").select("seed", "window")
+    found = full.join(again, ["seed", "window"], "left_semi")
+    return stash(found.groupBy("seed", "context").agg(F.collect_list(F.col("lo") + F.col("i")).alias("at")), f"{tag}-masks")
+
+
+def by_blocks(compare: Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]], block_bytes: int) -> Callable[[DataFrame, DataFrame, Kind, str], DataFrame]:
+    """Contexts of whole seeds side by side in one task, for ``compare``; seeds with more than HOT contexts by levels."""
+
+    def found(docs: DataFrame, hits: DataFrame, kind: Kind, tag: str) -> DataFrame:
+        def each(e: Elements, seed, context, begin, lead, runs) -> pa.RecordBatch:
+            size = runs - 1 + kind.window
+            body = pa.array([e.raw[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist())], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(seed), pa.array(context), pa.array(lead), pa.array(runs), body], names=["seed", "context", "lead", "runs", "body"])
 
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["tk"] == wanted["tk"])).select("text", "wanted").mapInArrow(cut, CONTEXT)
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in whole_seeds(batches, block_bytes):
+                block = Block(table, kind)
+                block.survivors()
+                yield block.verdict(*compare(block))
 
+        cut = _cut(docs, hits.where(f"k <= {HOT}"), kind, each, BODY)
+        masks = stash(cut.repartition("seed").sortWithinPartitions("seed", "context").mapInArrow(judge, MASK), f"{tag}-masks")
+        hot = hits.where(f"k > {HOT}")
+        if hot.isEmpty():
+            return masks
+        return masks.unionByName(by_levels(docs, hot, kind, f"{tag}-hot"), allowMissingColumns=True)
 
-def whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
-    """From rows sorted by key, tables of whole keys with at least so many bytes of body."""
+    return found
+
+
+def whole_seeds(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """From rows sorted by seed, tables of whole seeds with about so many bytes of body (more only for one larger seed)."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in slices(batches, "body", least // 2):
         held.append(batch)
-        size += batch.nbytes
+        size += sum(np.asarray(pa.compute.binary_length(batch.column("body"))).tolist())
         if size < least:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        key = table.column("key").to_numpy()
-        last = int(np.searchsorted(key, key[-1], side="left"))
+        seed = table.column("seed").to_numpy()
+        last = int(np.searchsorted(seed, seed[-1], side="left"))
         if last:
             yield table.slice(0, last)
         held = table.slice(last).to_batches()
-        size = sum(b.nbytes for b in held)
+        size = sum(sum(np.asarray(pa.compute.binary_length(b.column("body"))).tolist()) for b in held)
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
 class Block:
-    """Different contexts of whole groups, as one array of elements."""
+    """Different contexts of whole seeds, as one array of bytes."""
 
     def __init__(self, table: pa.Table, kind: Kind):
-        key, seed, context = (table.column(c).to_numpy() for c in ("key", "seed", "context"))
+        seed, context = (table.column(c).to_numpy() for c in ("seed", "context"))
         # a document row that occurs twice sends its contexts twice
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (seed[1:] != seed[:-1]) | (context[1:] != context[:-1])])
+        first = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (context[1:] != context[:-1])])
         table = table.take(pa.array(first)).combine_chunks()
-        self.key, self.seed, self.context = key[first], seed[first], context[first]
-        self.lead, self.lo, self.hi = (table.column(c).to_numpy().astype(np.int64) for c in ("lead", "lo", "hi"))
-        body = table.column("body").chunk(0) if table.num_rows else pa.array([], pa.binary())
-        _, offsets, data = body.buffers()
-        at = np.frombuffer(offsets, np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
-        flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
-        self.elements = flat.copy().view(np.uint64) if kind.words else flat
-        self.start = (at - at[0]) // (8 if kind.words else 1)
+        self.seed, self.context = seed[first], context[first]
+        self.lead, self.hi = (table.column(c).to_numpy().astype(np.int64) for c in ("lead", "runs"))
+        self.lo = np.zeros(len(self.hi), np.int64)
+        self.elements, self.start = joined_bytes(table.column("body").chunk(0))
         self.kind = kind
-        self.sums = Stretches(self.elements if kind.words else byte_values()[self.elements])
+        self.sums = Stretches(byte_values()[self.elements])
 
     def survivors(self) -> None:
         """Drops the windows of a side whose longer stretch is met once: they cannot be repeated."""
         kind = self.kind
         place = self.start[:-1] + self.lead
         n = len(self.elements)
-        split = np.clip(self.lead - (kind.longer - kind.gram) + 1, self.lo, self.hi)
+        split = kind.split(self.lead, self.hi)
         left = self.sums.at(np.maximum(place - (kind.longer - kind.gram), 0), np.minimum(place + kind.gram, n))
         right = self.sums.at(place, np.minimum(place + kind.longer, n))
-        has_left, has_right = split > self.lo, split < self.hi
-        left_alone = ~met_twice(self.key, left, has_left) | ~has_left
-        right_alone = ~met_twice(self.key, right, has_right) | ~has_right
-        self.lo = np.where(left_alone, split, self.lo)
-        self.hi = np.where(right_alone, split, self.hi)
+        left_alone = ~met_twice(self.seed, left, split > 0)
+        right_alone = ~met_twice(self.seed, right, split < self.hi)
+        self.lo, self.hi = np.where(left_alone, split, 0), np.where(right_alone, split, self.hi)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Row and element of each window still in question."""
@@ -190,15 +251,12 @@ class Block:
         return row, self.start[row] + self.lo[row] + within
 
     def verdict(self, row: np.ndarray, at: np.ndarray, repeated: np.ndarray) -> pa.RecordBatch:
-        """Rows of VERDICT for the contexts that have repeated windows."""
+        """Rows of MASK for the contexts that have repeated windows."""
         count = np.bincount(row, minlength=len(self.lo))
         ends = np.cumsum(count)
-        out = [[], [], [], []]
-        for r in np.unique(row[repeated]):
-            mask = repeated[ends[r] - count[r] : ends[r]]
-            for column, value in zip(out, (int(self.seed[r]), int(self.context[r]), int(self.lo[r]), np.packbits(mask).tobytes())):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["seed", "context", "lo", "mask"])
+        rows = np.unique(row[repeated])
+        masks = [np.packbits(repeated[ends[r] - count[r] : ends[r]]).tobytes() for r in rows.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(self.seed[rows]), pa.array(self.context[rows]), pa.array(self.lo[rows].astype(np.int32)), pa.array(masks, pa.binary())], names=["seed", "context", "lo", "mask"])
 
 
 def met_twice(key: np.ndarray, value: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -213,33 +271,28 @@ def met_twice(key: np.ndarray, value: np.ndarray, counts: np.ndarray) -> np.ndar
     return out
 
 
-def removed_spans(documents: DataFrame, kind: Kind, compare: Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]], block_bytes: int, tag: str) -> DataFrame:
-    """doc_id, text, tk and ``spans``: array of (first, runs, mask) of repeated windows; null if none."""
+def removed_spans(documents: DataFrame, kind: Kind, method: Callable[[DataFrame, DataFrame, Kind, str], DataFrame], tag: str) -> DataFrame:
+    """doc_id, text, tk and ``spans``: array of repeated windows (see ``covered``); null if none."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tk", text_key())
     hits = stash(repeated_contexts(docs, kind, tag), f"{tag}-hits")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, block_bytes):
-            block = Block(table, kind)
-            block.survivors()
-            yield block.verdict(*compare(block))
-
-    masks = stash(contexts(docs, hits, kind).repartition("key").sortWithinPartitions("key", "seed", "context").mapInArrow(judge, VERDICT), f"{tag}-masks")
-    whole = hits.where("n > 1").select("doc_id", "tk", F.struct("first", "runs", F.lit(None).cast("binary").alias("mask")).alias("span"))
-    part = hits.where("n = 1").join(masks, ["seed", "context"]).select("doc_id", "tk", F.struct((F.col("first") + F.col("lo")).alias("first"), F.lit(0).alias("runs"), "mask").alias("span"))
-    spans = whole.unionByName(part).groupBy("doc_id", "tk").agg(F.collect_list("span").alias("spans"))
+    masks = method(docs, hits.where("k > 1"), kind, tag)
+    none = {"lo": "int", "mask": "binary", "at": "array<int>"}
+    masks = masks.select("seed", "context", *[F.col(c) if c in masks.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    whole = hits.where("n > 1").select("doc_id", "tk", "first", "runs", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    part = hits.where("n = 1").join(masks, ["seed", "context"]).select("doc_id", "tk", "first", "runs", *none)
+    spans = whole.unionByName(part).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("first", "runs", *none)).alias("spans"))
     return docs.join(spans.withColumnsRenamed({"doc_id": "s_id", "tk": "s_tk"}), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("tk") == F.col("s_tk")), "left").drop("s_id", "s_tk")
 
 
 def covered(spans: list[dict], n: int, window: int) -> np.ndarray:
-    """Which of n elements the repeated windows cover."""
+    """Which of n elements the repeated windows cover: ``runs`` windows from ``first`` on, or of these the ones in ``mask`` from ``lo`` on, or those ``at``."""
     edge = np.zeros(n + 1, np.int64)
     for s in spans:
-        if s["mask"] is None:
+        if s["mask"] is None and s["at"] is None:
             edge[s["first"]] += 1
             edge[s["first"] + s["runs"] - 1 + window] -= 1
         else:
-            at = s["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(s["mask"], np.uint8)))
+            at = s["first"] + (np.array(s["at"], np.int64) if s["mask"] is None else s["lo"] + np.flatnonzero(np.unpackbits(np.frombuffer(s["mask"], np.uint8))))
             np.add.at(edge, at, 1)
             np.add.at(edge, at + window, -1)
     return np.cumsum(edge[:-1]) > 0

@@ -2,20 +2,24 @@
 
 Elements are bytes or words, as random-looking 64-bit values. The hash of a stretch is a
 polynomial in an odd base modulo 2**64, taken from prefix sums, so that any stretch costs
-two look-ups.
+two look-ups. Equal stretches have equal hashes; the reverse is not sure, so these hashes find
+candidates only, of which whoever uses them compares the words or bytes themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
 
-from quarry.llm.common import mixed
+from quarry.llm.common import eights, first_bytes, mixed
 
 BASE = 0x9E3779B97F4A7C15  # any odd number
 #: Window starts handled at once, so that the arrays stay in the processor's cache.
 STEP = 1 << 17
+#: Bytes of a word from which its value is a digest.
+LONG = 256
 
 
 @lru_cache(maxsize=1)
@@ -54,7 +58,7 @@ class Stretches:
 
 
 def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit values of all words, their byte starts and ends in ``data``, and each text's n+1 word offsets."""
+    """64-bit values of all words (different for different words of up to eight bytes; else equal by chance only), their byte starts and ends in ``data``, and each text's n+1 word offsets."""
     n = len(data)
     inside = np.ones(n + 2, bool)
     inside[0] = inside[-1] = False
@@ -68,15 +72,16 @@ def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if len(cut):
         starts = np.sort(np.concatenate([starts, cut]))
         ends = np.sort(np.concatenate([ends, cut]))
-    values = np.empty(len(starts), np.uint64)
-    done = 0
-    table = byte_values()
-    while done < len(starts):  # pieces of whole words
-        to = max(done + 1, int(np.searchsorted(ends, starts[done] + STEP, side="right")))
-        a, b = int(starts[done]), int(ends[to - 1])
-        s = Stretches(table[data[a:b]])
-        values[done:to] = mixed(s.at(starts[done:to] - a, ends[done:to] - a) + (ends[done:to] - starts[done:to]).astype(np.uint64))
-        done = to
+    size = ends - starts
+    at_each = eights(data)
+    values = mixed(first_bytes(at_each, starts, size) + size.astype(np.uint64) * np.uint64(BASE))
+    done, long = 8, np.flatnonzero(size > 8)
+    while len(long) and done < LONG:  # eight bytes more of each longer word; no step is linear in the one before
+        values[long] = mixed(values[long] + mixed(first_bytes(at_each, starts[long] + done, size[long] - done) + np.uint64(done)))
+        done += 8
+        long = long[size[long] > done]
+    for i in long.tolist():
+        values[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
     return values, starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -84,9 +89,8 @@ def anchors(values: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     """Each window's anchor: its gram of smallest hash, the leftmost of equals.
 
     Equal windows have equal anchors at equal places. Yields, for pieces of the array,
-    (first, lead, count, seed, context): ``count`` windows from the position ``first`` on
-    share one anchor, ``lead`` elements after ``first``; ``seed`` is the anchor gram's hash and
-    ``context`` that of all elements of these windows, with lead and count. Each window
+    (first, lead, count, seed): ``count`` windows from the position ``first`` on share one
+    anchor, ``lead`` elements after ``first``; ``seed`` is the anchor gram's hash. Each window
     inside a text is in just one of them.
     """
     span = window - gram + 1
@@ -127,6 +131,4 @@ def anchors(values: np.ndarray, offsets: np.ndarray, window: int, gram: int):
         if not len(begin):
             continue
         lead, runs = place[begin] - begin, stop - begin
-        context = s.at(begin, stop - 1 + window)
-        context = mixed(context + mixed((lead * 4096 + runs).astype(np.uint64)))
-        yield begin + at, lead, runs, grams[place[begin]], context
+        yield begin + at, lead, runs, grams[place[begin]]

@@ -10,29 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import load, slices
-from quarry.llm.repeats import SPANS, Block, Kind, covered, met_twice, removed_spans, runs_of
+from quarry.llm.repeats import SLICE, SPANS, Kind, by_levels, covered, removed_spans, runs_of
 
 WINDOW, GRAM = 35, 9
-#: Bytes of contexts that a task compares at once.
-BLOCK = 4 << 20
 
 OUT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"
 
 
-def _last_level(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of the full length among those whose stretch of half the length is repeated."""
-    row, at = block.windows()
-    value = block.sums.at(at, at + block.kind.window)
-    return row, at, met_twice(block.key[row], value, np.ones(len(row), bool))
-
-
 def remove_repeated_windows(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Words of each text without those in a window of ``window`` words that also starts elsewhere.
 
     Levels: ``gram`` words at every window's anchor, twice that, then the full window.
     Windows met once at one length are dropped; those repeated are extended to twice the
     length (the last time to ``window``), until none survive or the full length is reached.
-    Each level counts over all documents, so the outcome is exact.
+    Each level counts over all documents. A whole stretch of windows around an anchor that
+    is met twice needs no level: all its windows are repeated. What is equal is told by
+    digests of the words themselves (see ``repeats``).
 
     Columns: doc_id, n_words, n_removed, spans (word positions removed, end exclusive), and
     kept (the other words, joined by a space). A null text has no words and keeps ''. Texts
@@ -41,10 +34,10 @@ def remove_repeated_windows(documents: DataFrame, window: int = WINDOW, gram: in
     gives an empty table. Other columns are ignored.
     """
     kind = Kind(True, window, gram)
-    found = removed_spans(documents, kind, _last_level, BLOCK, "substring-dedup")
+    found = removed_spans(documents, kind, by_levels, "substring-dedup")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             n_words, n_removed, removed, kept = [], [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 words = (text or "").encode().split()

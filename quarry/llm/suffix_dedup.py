@@ -10,17 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import load, slices
-from quarry.llm.repeats import SPANS, Block, Kind, covered, removed_spans, runs_of
-from quarry.llm.rolling import Stretches, byte_values
+from quarry.llm.repeats import SLICE, SPANS, Block, Kind, by_blocks, covered, removed_spans, runs_of
 
 LENGTH, GRAM = 200, 50
 #: Bytes of contexts in one suffix array.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def two_stage_order(text: np.ndarray, hashes: Stretches, depth: int) -> np.ndarray:
+def two_stage_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes in order of their first ``depth`` symbols.
 
     ``text`` holds symbols 1 to 255, and 0 after each string. A suffix smaller than its
@@ -38,16 +37,10 @@ def two_stage_order(text: np.ndarray, hashes: Stretches, depth: int) -> np.ndarr
     later = np.minimum.accumulate(later[::-1])[::-1]  # next place where the symbol changes
     smaller = step[later] > 0  # type B
 
-    # direct sort of B: suffixes equal in hash over the depth are equal, so one of each is sorted
     b = np.flatnonzero(smaller)
-    value = hashes.at(b, np.minimum(b + depth, n))
-    _, one, which = np.unique(value, return_index=True, return_inverse=True)
-    raw = text.tobytes()
-    keys = [raw[i : i + depth] for i in b[one].tolist()]
-    rank = np.empty(len(keys), np.int64)
-    rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
-    del keys
-    b = b[np.argsort(rank[which], kind="stable")]
+    padded = np.zeros(n + depth, np.uint8)
+    padded[:n] = text
+    b = b[np.argsort(np.lib.stride_tricks.as_strided(padded, (n, depth), (1, 1))[b].view(f"S{depth}").ravel(), kind="stable")]
 
     b_at = np.searchsorted(text[b], np.arange(257))
     fronts: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -77,18 +70,21 @@ def two_stage_order(text: np.ndarray, hashes: Stretches, depth: int) -> np.ndarr
     return np.concatenate(out)
 
 
-def common_prefixes(hashes: Stretches, left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
-    """Lengths, at most ``most``, of the prefixes that the suffixes at left and right share."""
-    n = len(hashes.sums) - 1
-    low = np.zeros(len(left), np.int64)
-    step = 1 << int(most).bit_length()
-    while step := step >> 1:
-        longer = low + step
-        fits = (longer <= most) & (left + longer <= n) & (right + longer <= n)
-        end = np.where(fits, longer, 0)
-        same = fits & (hashes.at(left, left + end) == hashes.at(right, right + end))
-        low = np.where(same, longer, low)
-    return low
+def common_prefixes(text: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
+    """Lengths, at most ``most``, of the prefixes that the suffixes at left and right share, by their bytes."""
+    eights = -(-most // 8)
+    padded = np.zeros(len(text) + 8 * eights, np.uint8)
+    padded[: len(text)] = text
+    words = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(text), 8 * eights), (1, 1))
+    out = np.empty(len(left), np.int64)
+    for at in range(0, len(left), 4096):
+        i, j = left[at : at + 4096], right[at : at + 4096]
+        differ = words[i].view("<u8") ^ words[j].view("<u8")
+        first = (differ != 0).argmax(axis=1)
+        x = differ[np.arange(len(i)), first]  # the lowest byte that differs comes first
+        length = 8 * first + np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8
+        out[at : at + 4096] = np.minimum(np.where(x == 0, most, length), np.minimum(most, len(text) - np.maximum(i, j)))
+    return out
 
 
 def _by_suffix_array(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,9 +101,8 @@ def _by_suffix_array(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = np.zeros(int((size + 1).sum()), np.uint8)
     within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     text[np.repeat(to, size) + within] = block.elements[np.repeat(begin, size) + within] + 1
-    hashes = Stretches(byte_values()[text])
 
-    order = two_stage_order(text, hashes, length)
+    order = two_stage_order(text, length)
     moved = np.zeros(len(block.lo), np.int64)
     moved[used] = to - begin
     place = at + moved[row]
@@ -117,7 +112,7 @@ def _by_suffix_array(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mine = mine[mine >= 0]
     repeated = np.zeros(len(row), bool)
     if len(mine) > 1:
-        same = common_prefixes(hashes, place[mine[:-1]], place[mine[1:]], length) >= length
+        same = common_prefixes(text, place[mine[:-1]], place[mine[1:]], length) >= length
         repeated[mine[1:][same]] = True
         repeated[mine[:-1][same]] = True
     return row, at, repeated
@@ -128,7 +123,9 @@ def remove_repeated_strings(documents: DataFrame, length: int = LENGTH, gram: in
 
     Contexts around repeated anchors are sorted as suffixes, in two stages (see
     ``two_stage_order``); windows whose common prefix with a neighbour has ``length`` bytes are
-    repeated. A context that itself is met twice needs no sort: all its windows are.
+    repeated: prefixes are compared byte by byte. A context that itself is met twice needs no
+    sort: all its windows are. Those of an anchor with over ``repeats.HOT`` different contexts
+    are counted by digests instead, so that no task sorts a group of any size.
 
     Columns: doc_id, n_bytes, n_removed, spans (byte positions of the maximal removed runs,
     end exclusive) and kept (binary, as a cut may fall within a character). A null text has
@@ -136,10 +133,10 @@ def remove_repeated_strings(documents: DataFrame, length: int = LENGTH, gram: in
     stay separate rows and count as repeats of each other. A null doc_id stays null. An
     empty table gives an empty table. Other columns are ignored.
     """
-    found = removed_spans(documents, Kind(False, length, gram), _by_suffix_array, BLOCK, "suffix-dedup")
+    found = removed_spans(documents, Kind(False, length, gram), by_blocks(_by_suffix_array, BLOCK), "suffix-dedup")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             n_bytes, n_removed, removed, kept = [], [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 data = (text or "").encode()

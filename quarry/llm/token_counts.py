@@ -2,14 +2,15 @@
 
 A text is cut into leaves where white space follows other text; byte-level BPE never joins
 across such a place, so leaves count apart. The tree holds the sums of tokens and of
-characters over leaves, as a heap: node i has the children 2i and 2i + 1. An edit re-encodes
-the leaves it touches, and neighbours only where the border is no such place any more,
-and then updates the sums on the way to the root.
+characters over leaves, as a heap: node i has the children 2i and 2i + 1. An edit touches
+its leaves, and neighbours only where the border is no such place any more; touched leaves
+are cut anew if they have grown, encoded once after all edits, and the sums on their way to the root updated.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from quarry.llm import pseudonyms, quality
-from quarry.llm.common import load, on_texts
+from quarry.llm.common import load, slices
 from quarry.llm.tokens import encoder, vocabulary_path
 
 #: Characters of a leaf before the next cut.
 LEAF = 256
-TREE = "struct<n_tokens:long,chars:array<int>,tokens:array<int>>"
 EDITS = "array<struct<start:int,end:int,text:string>>"
-AFTER = "struct<n_tokens:long,chars:array<int>,tokens:array<int>,n_leaves:int,n_edits:int,n_reencoded:int,text:string>"
+COUNTS = (
+    "struct<n_tokens:long,chars:array<int>,tokens:array<int>,"
+    "after:struct<n_tokens:long,chars:array<int>,tokens:array<int>,n_leaves:int,n_edits:int,n_reencoded:int,text:string>>"
+)
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -41,54 +44,49 @@ def leaves_of(text: str) -> list[str]:
     return out
 
 
-def heap(values: list[int] | np.ndarray) -> np.ndarray:
+def heap(values: list[int]) -> list[int]:
     """Sums of 2, 4, 8 ... neighbouring values; the values themselves are the second half, padded with 0."""
     size = 1 << max(0, len(values) - 1).bit_length()
-    out = np.zeros(2 * size, np.int64)
-    out[size : size + len(values)] = values
-    level = size
-    while level > 1:
-        out[level // 2 : level] = out[level : 2 * level : 2] + out[level + 1 : 2 * level : 2]
-        level //= 2
-    return out
+    level = [*values, *[0] * (size - len(values))]
+    levels = [level]
+    while len(level) > 1:
+        level = [a + b for a, b in zip(level[::2], level[1::2])]
+        levels.append(level)
+    return [0, *(x for each in reversed(levels) for x in each)]
 
 
 class Tree:
     """A text's leaves with the heaps of their characters and tokens."""
 
-    def __init__(self, text: str, count, chars=None, tokens=None):
-        self.count = count
-        if chars is None:
-            self.leaves = leaves_of(text)
-            self.tokens = heap(count(self.leaves))
-        else:
-            size = len(chars) // 2
-            ends = np.cumsum(chars[size:]).tolist()
-            self.leaves = [text[a:b] for a, b in zip([0, *ends], ends)]
-            self.tokens = np.array(tokens, np.int64)
-        size = len(self.tokens) // 2
-        self.leaves += [""] * (size - len(self.leaves))
-        self.chars = heap([len(x) for x in self.leaves]) if chars is None else np.array(chars, np.int64)
-        self.size, self.reencoded = size, 0
+    def __init__(self, leaves: list[str], tokens: list[int]):
+        self.reencoded = 0
+        self._build(leaves, tokens, [False] * len(leaves))
+
+    def _build(self, leaves: list[str], tokens: list[int], open_: list[bool]) -> None:
+        self.tokens, self.chars = heap(tokens), heap([len(x) for x in leaves])
+        self.size = len(self.tokens) // 2
+        rest = self.size - len(leaves)
+        #: ``open`` leaves are those whose tokens are still to be counted.
+        self.leaves, self.open = [*leaves, *[""] * rest], [*open_, *[False] * rest]
 
     def leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf with the character at ``place`` (the last one with any, if there is none), and the place within it."""
         node = 1
-        place = min(place, max(0, int(self.chars[1]) - 1))
+        place = min(place, max(0, self.chars[1] - 1))
         while node < self.size:
             node *= 2
             if place >= self.chars[node]:
-                place -= int(self.chars[node])
+                place -= self.chars[node]
                 node += 1
         return node - self.size, place
 
-    def _set(self, leaf: int, text: str, n_tokens: int) -> None:
+    def _set(self, leaf: int, text: str) -> None:
+        """A leaf's new text; its tokens are counted by ``settle``."""
         node = leaf + self.size
-        more_chars, more_tokens = len(text) - int(self.chars[node]), n_tokens - int(self.tokens[node])
-        self.leaves[leaf] = text
+        more = len(text) - self.chars[node]
+        self.leaves[leaf], self.open[leaf] = text, True
         while node:
-            self.chars[node] += more_chars
-            self.tokens[node] += more_tokens
+            self.chars[node] += more
             node //= 2
 
     def edit(self, start: int, end: int, text: str) -> None:
@@ -105,11 +103,16 @@ class Tree:
             new, first = self.leaves[left] + new, left
         while (right := self._neighbour(last, 1)) is not None and not (new and not new[-1].isspace() and self.leaves[right][0] in " \n"):
             new, last = new + self.leaves[right], right
-        for leaf in range(first + 1, last + 1):
-            if self.leaves[leaf]:
-                self._set(leaf, "", 0)
-        self._set(first, new, sum(self.count(leaves_of(new))))
-        self.reencoded += len(new)
+        pieces = leaves_of(new) if len(new) > 2 * LEAF else [new]
+        room = last - first + 1
+        if len(pieces) <= room:
+            for leaf, piece in zip(range(first, last + 1), [*pieces, *[""] * (room - len(pieces))]):
+                if piece or self.leaves[leaf]:
+                    self._set(leaf, piece)
+        else:  # more leaves than before: the heaps are built anew, from the counts that stay
+            kept = self.tokens[self.size :]
+            n = len(pieces)
+            self._build(self.leaves[:first] + pieces + self.leaves[last + 1 :], kept[:first] + [0] * n + kept[last + 1 :], self.open[:first] + [True] * n + self.open[last + 1 :])
 
     def _neighbour(self, leaf: int, step: int) -> int | None:
         """The next leaf on that side that has characters."""
@@ -118,73 +121,65 @@ class Tree:
             leaf += step
         return leaf if 0 <= leaf < self.size else None
 
+    def pending(self) -> list[str]:
+        return [x for x, o in zip(self.leaves, self.open) if o]
+
+    def settle(self, counts: Iterator[int]) -> None:
+        """The tokens of the ``pending`` leaves, in order; sums above them follow."""
+        for leaf, o in enumerate(self.open):
+            if o:
+                node = leaf + self.size
+                more = next(counts) - self.tokens[node]
+                self.reencoded += len(self.leaves[leaf])
+                while node:
+                    self.tokens[node] += more
+                    node //= 2
+        self.open = [False] * self.size
+
     def text(self) -> str:
         return "".join(self.leaves)
 
 
-def _counter(path: str):
-    return lambda texts: [len(x) // 4 for x in encoder(path).encode(texts)]
-
+def counted(texts: list[str], path: str) -> list[int]:
+    return np.diff(encoder(path).encode(pa.array(texts, pa.string()))[1]).tolist()
 
-def count_trees(text: Column, vocabulary: str | None = None) -> Column:
-    """A struct of n_tokens and the two heaps for each text (null: no tokens)."""
-    path = vocabulary_path(vocabulary)
-
-    def run(texts: list[str | None]) -> list[dict]:
-        leaves = [leaves_of(t or "") for t in texts]
-        counts = _counter(path)([x for each in leaves for x in each])
-        out, at = [], 0
-        for each in leaves:
-            tokens, chars = heap(counts[at : at + len(each)]), heap([len(x) for x in each])
-            out.append({"n_tokens": int(tokens[1]), "chars": chars.astype(np.int32), "tokens": tokens.astype(np.int32)})
-            at += len(each)
-        return out
-
-    return on_texts(run, TREE)(text.cast("string"))
 
+def recount(texts: list[str | None], edits: list[list[dict | None] | None], path: str) -> list[dict]:
+    """For each text its tree's counts, and under ``after`` those after the edits with the new text.
 
-def recount(text: Column, tree: Column, edits: Column, vocabulary: str | None = None) -> Column:
-    """The tree after the edits, the new text, and how many characters were encoded again.
-
-    Edits are (start, end, text) in characters of the old text. They apply from the last
-    to the first; one that overlaps a later one, or is null, is left out; places beyond the text count
-    as its end. A null text counts as empty; null edits are none. Leaves that no edit
-    touches keep their counts from ``tree``.
+    All leaves of all texts are encoded at once, then all leaves that edits have touched.
     """
-    path = vocabulary_path(vocabulary)
-    kind = to_arrow_type(_parse_datatype_string(AFTER))
-
-    def run(texts: pa.Array, trees: pa.Array, edits: pa.Array) -> pa.Array:
-        count = _counter(path)
-        chars, tokens = trees.field("chars"), trees.field("tokens")
-        out = []
-        for i, (old, todo) in enumerate(zip(texts.to_pylist(), edits.to_pylist())):
-            old = old or ""
-            before_chars, before_tokens = chars[i].values, tokens[i].values
-            if not todo:
-                out.append({"n_tokens": before_tokens[1].as_py(), "chars": before_chars.to_numpy(), "tokens": before_tokens.to_numpy(), "n_leaves": len(before_chars) // 2, "n_edits": 0, "n_reencoded": 0, "text": old})
+    leaves = [leaves_of(t or "") for t in texts]
+    counts = iter(counted([x for each in leaves for x in each], path))
+    trees = [Tree(each, [next(counts) for _ in each]) for each in leaves]
+    out = [{"n_tokens": t.tokens[1], "chars": t.chars, "tokens": t.tokens} for t in trees]
+    done = []
+    for row, t, old, todo in zip(out, trees, texts, edits):
+        n, applied = len(old or ""), 0
+        if todo:
+            row |= {"chars": list(t.chars), "tokens": list(t.tokens)}
+        free = n + 1
+        for e in sorted((e for e in todo or [] if e and e["start"] is not None and e["end"] is not None), key=lambda e: (-e["start"], -e["end"])):
+            start, end = max(0, min(e["start"], n)), min(max(e["start"], e["end"], 0), n)
+            if end > free:
                 continue
-            t = Tree(old, count, before_chars.to_numpy(), before_tokens.to_numpy())
-            free, done = len(old) + 1, 0
-            for e in sorted((e for e in todo if e and e["start"] is not None and e["end"] is not None), key=lambda e: (-e["start"], -e["end"])):
-                start, end = max(0, min(e["start"], len(old))), min(max(e["start"], e["end"]), len(old))
-                if end > free or start < 0:
-                    continue
-                t.edit(start, end, e["text"] or "")
-                free, done = start, done + 1
-            out.append({"n_tokens": int(t.tokens[1]), "chars": t.chars.astype(np.int32), "tokens": t.tokens.astype(np.int32), "n_leaves": t.size, "n_edits": done, "n_reencoded": t.reencoded, "text": t.text()})
-        return pa.array(out, kind)
-
-    run.__annotations__ = {"texts": pa.Array, "trees": pa.Array, "edits": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, AFTER).asNondeterministic()(text.cast("string"), tree, edits)
+            t.edit(start, end, e["text"] or "")
+            free, applied = start, applied + 1
+        done.append(applied)
+    counts = iter(counted([x for t in trees for x in t.pending()], path))
+    for row, t, n in zip(out, trees, done):
+        t.settle(counts)
+        row["after"] = {"n_tokens": t.tokens[1], "chars": t.chars, "tokens": t.tokens, "n_leaves": t.size, "n_edits": n, "n_reencoded": t.reencoded, "text": t.text()}
+    return out
 
 
 def cleaning_edits(text: str | None) -> list[dict]:
     """What cleaning does to a text, as edits: lines that fail the quality rules go with their line feed, personal data gets pseudonyms."""
     out, at = [], 0
+    phrases = quality.may_have_phrases(text or "")
     for line in (text or "").split("\n"):
         n = len(line.encode().split())
-        if n and quality.bad_line(line, n):
+        if n and quality.bad_line(line, n, phrases):
             out.append({"start": at, "end": min(at + len(line) + 1, len(text)), "text": ""})
         else:
             out += [{"start": at + a, "end": at + b, "text": new} for a, b, _, new in pseudonyms.replacements(line)]
@@ -192,20 +187,48 @@ def cleaning_edits(text: str | None) -> list[dict]:
     return out
 
 
-def recounted(documents: DataFrame, edits: Column, result: str = "counts") -> DataFrame:
-    """``documents`` with a struct column ``result``: n_tokens before, and ``after``, the outcome of ``recount``.
+def recounted(documents: DataFrame, edits: Column | Callable[[str | None], list[dict]], result: str = "counts", vocabulary: str | None = None) -> DataFrame:
+    """``documents`` with a struct column ``result``: a text's n_tokens and its tree, and ``after``, the same after the edits with the new text.
 
-    Rows are handled one by one, so repeated rows and null ids need no rule. A column already
-    named ``result`` is replaced.
+    ``edits`` is a column of (start, end, text), or a function that gives a text's. Places are
+    characters of the old text. Edits apply from the last to the first; one that overlaps a
+    later one, or is null or has no place, is left out; places beyond the text count as its end. A null text counts
+    as empty; null edits are none. Leaves that no edit touches keep their counts, and
+    ``n_reencoded`` says how many characters were encoded again. Rows are handled one by one, so
+    repeated rows and null ids need no rule. A column already named ``result`` is replaced;
+    other columns stay as they are.
     """
-    trees = documents.withColumns({"__edits": edits, "__tree": count_trees(F.col("text"))})
-    after = trees.withColumn("__after", recount(F.col("text"), F.col("__tree"), F.col("__edits")))
-    return after.withColumn(result, F.struct(F.col("__tree.n_tokens").alias("n_tokens"), F.col("__after").alias("after"))).drop("__edits", "__tree", "__after")
+    path = vocabulary_path(vocabulary)
+    kind = to_arrow_type(_parse_datatype_string(COUNTS))
+    edits_of = None if isinstance(edits, Column) else edits
+
+    def handle(batch: pa.RecordBatch) -> pa.Array:
+        parts = []
+        for b in slices(iter([batch]), "text", 1 << 19):
+            texts = b.column("text").to_pylist()
+            todo = b.column("edits").to_pylist() if edits_of is None else [edits_of(t) for t in texts]
+            parts.append(pa.array(recount(texts, todo, path), kind))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    if edits_of is None:
+
+        def run(texts: pa.Array, edits: pa.Array) -> pa.Array:
+            return handle(pa.RecordBatch.from_arrays([texts, edits], names=["text", "edits"]))
+
+        run.__annotations__ = {"texts": pa.Array, "edits": pa.Array, "return": pa.Array}
+        arguments = [edits]
+    else:
+
+        def run(texts: pa.Array) -> pa.Array:
+            return handle(pa.RecordBatch.from_arrays([texts], names=["text"]))
+
+        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        arguments = []
+    return documents.withColumn(result, F.arrow_udf(run, COUNTS).asNondeterministic()(F.col("text").cast("string"), *arguments))
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
     """Counts of every document before and after cleaning, the latter from the former and the edits."""
-    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
-    found = recounted(documents, on_texts(lambda texts: [cleaning_edits(t) for t in texts], EDITS)(F.col("text")))
+    found = recounted(load(spark, sf_dir, "documents").select("doc_id", "text"), cleaning_edits)
     after = [F.col(f"counts.after.{c}").alias(a) for c, a in (("n_tokens", "n_tokens_after"), ("n_leaves", "n_leaves"), ("n_edits", "n_edits"), ("n_reencoded", "n_reencoded"))]
     return found.select("doc_id", F.col("counts.n_tokens").alias("n_tokens"), *after)

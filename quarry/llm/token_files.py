@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import load, shared_dir, slices, stash
+from quarry.llm.common import joined_bytes, load, shared_dir, slices, stash
 from quarry.llm.tokens import encoder, vocabulary_path
 
 END = 0
@@ -62,19 +62,21 @@ def token_ids(documents: DataFrame, vocabulary: str | None, end_id: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path)
         kind = "<u2" if tokenizer.size <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text"):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in tokenizer.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([int(kind[-1])] * len(ids), pa.int32())], names=["doc_id", "ids", "width"])
+        width = int(kind[-1])
+        for batch in slices(batches, "text", 1 << 20):
+            ids, at = tokenizer.encode(batch.column("text"))
+            data = np.insert(ids, at[1:], end_id).astype(kind).tobytes()
+            ends = ((at + np.arange(len(at))) * width).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, pa.array(np.full(batch.num_rows, width, np.int32))], names=["doc_id", "ids", "width"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, ids binary, width int")
 
 
 def _values(batch: pa.RecordBatch) -> np.ndarray:
-    raw = b"".join(batch.column("ids").to_pylist())
-    return np.frombuffer(raw, f"<u{batch.column('width')[0].as_py()}")
+    data, _ = joined_bytes(batch.column("ids"))
+    return np.frombuffer(data, f"<u{batch.column('width')[0].as_py()}")
 
 
 def counts(ids: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,19 +194,23 @@ def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
     rng = random.Random(9)
-    samples = [x or "" for x in TEXTS] + ["".join(rng.choice(["a", "Zu", " ", "  ", "\n", "\t", "é", "12", "'s", ".", "　"]) for _ in range(rng.randrange(40))) for _ in range(300)]
-    e = tokens.Encoder(tokens.vocabulary_path())
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(samples)] == [x.ids for x in t.encode_batch(samples, add_special_tokens=False)]
+    bits = ["a", "Zu", " ", "  ", "\n", "\t", "é", "12", "'s", ".", "　", "\x85", "Ġ", "\0", "<|endoftext|>", " longer-than-sixteen-bytes"]
+    samples = [x or "" for x in TEXTS] + ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    samples += [" ".join(rng.choice([*(b for b in bits if not b.isspace()), "x\ny", "'", "(z)", "word"]) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    want = [x.ids for x in t.encode_batch(samples, add_special_tokens=False)]
+    for kept in (tokens.KEPT, 64, 2):  # a full table goes on with what was used most
+        e = tokens.Encoder(tokens.vocabulary_path(), kept)
+        for step in (len(samples), 150):
+            for i in range(0, len(samples), step):
+                ids, at = e.encode(pa.array(samples[i : i + step], pa.string()))
+                assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want[i : i + step]
 
 
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
     want = [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in TEXTS]
     path = f"file:///tmp/checkpoints/quarry/test-{random.getrandbits(64):x}"
     token_files.write_token_files(table(spark, TEXTS, True), path)
@@ -278,8 +283,11 @@ def test_licenses(spark):
 
 
 def test_token_counts_after_edits(spark):
+    from tokenizers import Tokenizer
+
     rng = random.Random(21)
-    count = lambda t: len(tokens.encoder(tokens.vocabulary_path()).encode([t])[0]) // 4
+    tokenizer = Tokenizer.from_file(tokens.vocabulary_path())
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
     rows = []
     for i in range(60):
         t = "".join(rng.choice(["word ", "x", "\n", "  ", "é", "Ab.", "12 ", " "]) for _ in range(rng.randrange(600)))
@@ -297,10 +305,17 @@ def test_token_counts_after_edits(spark):
         new = t or ""
         for a, b, s in sorted((e for e in edits or [] if e), reverse=True):
             new = new[: min(a, len(new))] + s + new[b:]
-        assert got[i]["after"]["text"] == new and got[i]["after"]["n_tokens"] == count(new) and got[i]["n_tokens"] == count(t or "")
+        assert got[i]["after"]["text"] == new and got[i]["after"]["n_tokens"] == count(new) and got[i]["n_tokens"] == count(t or "") == sum(got[i]["tokens"][len(got[i]["tokens"]) // 2 :])
         assert sum(got[i]["after"]["tokens"][len(got[i]["after"]["tokens"]) // 2 :]) == count(new)
     long = spark.createDataFrame([(0, "some words here " * 20_000, [(50_000, 50_004, "other")])], f"doc_id long, text string, edits {token_counts.EDITS}")
     assert token_counts.recounted(long, F.col("edits")).first()["counts"]["after"]["n_reencoded"] < 2000
+    tree = token_counts.Tree(token_counts.leaves_of("a b c"), [3])
+    tree.edit(1, 1, " new words" * 3000)  # a long insertion is many leaves, so that an edit within touches few of them
+    tree.settle(iter(token_counts.counted(tree.pending(), tokens.vocabulary_path())))
+    before = tree.reencoded
+    tree.edit(10_000, 10_004, "other")
+    tree.settle(iter(token_counts.counted(tree.pending(), tokens.vocabulary_path())))
+    assert tree.reencoded - before < 1000 and tree.tokens[1] == count(tree.text()) and tree.text()[9_990:10_010].count("other") == 1
 
 
 def test_mixing(spark):
@@ -378,7 +393,6 @@ def test_pipeline(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
     start = 0
     want = []
     for i in sorted(kept):

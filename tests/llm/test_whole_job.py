@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import decontamination, near_copies, pseudonyms
+from quarry.llm import decontamination, near_copies, pseudonyms, repeats, substring_dedup, suffix_dedup
+from quarry.llm.common import joined_bytes
+from quarry.llm.rolling import word_values
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -97,3 +99,37 @@ def test_pipeline_near_dedup_keeps_one_row(spark):
     rows = [(1, t[0]), (1, t[0]), (None, t[1]), (3, t[1]), (None, t[2]), (None, t[2])]
     kept = corpus_pipeline.near_dedup(spark, table(spark, rows), "").collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, t[0]), (3, t[1]), (None, t[2])], key=str)
+
+
+def thue_morse(n, letters):
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+def test_stretches_of_equal_polynomial_hash_are_told_apart(spark):
+    """A Thue-Morse word and its complement have one value under any odd base modulo a power of two."""
+    words = [f"w{i}" for i in range(60)]
+    one, two = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    rows = [(0, " ".join([*words[:17], one, *words[17:34]])), (1, " ".join([*words[:17], two, *words[17:34]])), (2, " ".join(words)), (3, " ".join(words[5:45]))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeated_windows(table(spark, rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 40, 3: 40}
+    values = word_values(*joined_bytes(pa.array([one, two, one, "x" * 300, "x" * 301])))[0]
+    assert len(set(values.tolist())) == 4 and values[0] == values[2]
+    text = "".join(f"<{i}>" for i in range(60))
+    docs = table(spark, [(0, f"{text}{one}{text[::-1]}"), (1, f"{text}{two}{text[::-1]}")])
+    got = suffix_dedup.remove_repeated_strings(docs, 1300).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+
+
+def test_op2_and_op4_many_contexts_of_one_anchor(spark, monkeypatch):
+    """A passage that many texts share, with other words around it in each."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(i, f"{' '.join(f'w{rng.randrange(10**6)}' for _ in range(20))} {passage} {' '.join(f'v{rng.randrange(10**6)}' for _ in range(20))}") for i in range(60)]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeated_windows(table(spark, rows)).collect()}
+    assert got == {i: 50 for i, _ in rows}
+    want = None
+    for hot in (1000, 10):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        found = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in suffix_dedup.remove_repeated_strings(table(spark, rows)).collect()}
+        assert want in (None, found) and all(n >= len(passage) for n, _ in found.values())
+        want = found
