@@ -54,6 +54,14 @@ def stash(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return back
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of ``df`` has (names don't differ by case alone)."""
+    taken, out = {c.lower() for c in df.columns}, f"__{name}"
+    while any(c.startswith(out) for c in taken):
+        out = f"_{out}"
+    return out
+
+
 def text_key() -> Column:
     """With doc_id, tells the rows of a table apart; rows equal in both are interchangeable."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())

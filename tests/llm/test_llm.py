@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -228,42 +229,54 @@ def test_variable_length_coding():
     assert token_files.pack(values[:0]) == (b"", b"") and not len(token_files.unpack(b"", b"", 0))
 
 
-def model_leaks(text, items):
-    """All passages against all items, scored one by one."""
-    words = decontamination.plain_words(text)
-    index = decontamination.Index(items)
-    out = set()
-    count = max(1, -(-len(words) // decontamination.PIECE) - 1)
-    terms = {v: k for k, v in enumerate(index.terms.tolist())}
-    hashes = decontamination.hashed(words).tolist() if words else []
-    for p in range(count):
-        at = p * decontamination.PIECE
-        found = {terms[h] for h in hashes[at : at + decontamination.PASSAGE] if h in terms}
-        for j, item in enumerate(index.item_id):
-            if sum(float(index.impact[i, j]) for i in found) < decontamination.THRESHOLD - 1e-6:
-                continue
-            near = words[max(0, at - index.width[item]) : at + decontamination.PASSAGE + index.width[item]]
-            ok = True
-            for part in decontamination.parts_of(dict(items)[item]):
-                n = min(5, len(part))
-                mine = {tuple(part[i : i + n]) for i in range(len(part) - n + 1)}
-                there = {tuple(near[i : i + n]) for i in range(len(near) - n + 1)}
-                ok = ok and len(mine & there) >= decontamination.OVERLAP * len(mine)
-            if ok:
-                out.add(item)
+def model_leaks(texts, items, threshold=0.6, overlap=0.8):
+    """BM25 of every passage against every piece of every item, term by term, then the overlap of all 5-word shingles."""
+    plain = lambda t: re.findall(r"[^ ]+", "".join(c.lower() if c.isascii() and c.isalnum() else c if not c.isascii() else " " for c in t or ""))
+    pieces = []
+    for item in {(i, t) for i, t in items if t is not None}:
+        w = plain(item[1])
+        pieces += [(item, Counter(w[max(0, min(at, len(w) - 64)) : at + 64])) for at in range(0, len(w), 64)]
+    n, mean = len(pieces), sum(p.total() for _, p in pieces) / max(1, len(pieces))
+    df = Counter(t for _, p in pieces for t in p)
+    idf = {t: math.log((n - d + 0.5) / (d + 0.5) + 1) for t, d in df.items()}
+    shares = [(item, {t: idf[t] * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * p.total() / mean)) for t, f in p.items()}) for item, p in pieces]
+    out = []
+    for text in texts:
+        words, found = plain(text), set()
+        for at in range(0, max(1, len(words) - 64), 64):
+            passage = set(words[at : at + 128])
+            for item, share in shares:
+                score = sum(s for t, s in share.items() if t in passage) / sum(share.values())
+                assert abs(score - threshold) > 1e-9
+                if score < threshold:
+                    continue
+                width = len(plain(item[1]))
+                near = words[max(0, at - width) : at + 128 + width]
+                sentences = [s for s in re.split(r"(?<=[.!?])\s+", item[1]) if plain(s)]
+                parts = [plain(item[1])] * 2 if len(sentences) < 2 else [[w for s in sentences[:-1] for w in plain(s)], plain(sentences[-1])]
+                grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+                if all(len(grams(p, min(5, len(p))) & grams(near, min(5, len(p)))) >= overlap * len(grams(p, min(5, len(p)))) for p in parts):
+                    found.add(item)
+        out.append(sorted((i for i, _ in found), key=lambda i: (i is None, i)))
     return out
 
 
-def test_decontamination(spark):
-    rng = random.Random(11)
-    sentence = lambda n: " ".join(f"q{rng.randrange(900)}" for _ in range(n)).capitalize() + "."
-    items = [(i, f"{sentence(rng.randrange(8, 40))} {sentence(rng.randrange(4, 20))}") for i in range(40)] + [(40, sentence(150)), (41, "")]
-    docs = [None, "", *[f"{prose(rng, rng.randrange(300))} {items[rng.randrange(41)][1].upper()} {prose(rng, 50)}" for _ in range(15)]]
-    docs += [items[3][1].split(".")[0], prose(rng, 500), items[40][1], f"{items[1][1]} {prose(rng, 400)} {items[2][1]}"]
-    bench = spark.createDataFrame([*items, (None, "x y z"), (50, None), (3, "dup")], "item_id long, text string")
-    got = {r["doc_id"]: {x["item_id"] for x in r["found"]} for r in decontamination.leaks(table(spark, docs, True), bench, result="found").collect()}
-    assert got == {i: model_leaks(t, [x for x in items if x[1]]) for i, t in enumerate(docs)}
-    assert sum(map(len, got.values())) >= 17 and not got[17]  # a question alone is no leak
+@pytest.mark.parametrize(("n", "words"), [(40, 900), (600, 300)])
+def test_decontamination(spark, n, words):
+    rng = random.Random(n)
+    sentence = lambda k: " ".join(f"q{rng.randrange(words)}" for _ in range(k)).capitalize() + "."
+    items = [(i, f"{sentence(rng.randrange(8, 40))} {sentence(rng.randrange(4, 20))}") for i in range(n)] + [(n, sentence(150)), (n + 1, "")]
+    docs = [None, "", *[f"{prose(rng, rng.randrange(300))} {items[rng.randrange(n + 1)][1].upper()} {prose(rng, 50)}" for _ in range(15)]]
+    docs += [items[3][1].split(".")[0], prose(rng, 500), items[n][1], f"{items[1][1]} {prose(rng, 400)} {items[2][1]}"]
+    docs += [" ".join(w for w in items[rng.randrange(n)][1].split() if rng.random() < 0.7) for _ in range(10)] + [sentence(300)]
+    items += [(None, "x y z"), (n + 2, None), (3, "dup")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = dict(enumerate(model_leaks(docs, items)))
+    found = {r["doc_id"]: r["found"] for r in decontamination.leaks(table(spark, docs, True), bench, result="found").collect()}
+    assert {i: [x["item_id"] for x in f] for i, f in found.items()} == want
+    assert sum(map(len, want.values())) >= 17 and not want[17]  # a question alone is no leak
+    passes = decontamination.leaks(table(spark, docs, True), bench, result="found", most_words=len(items) * 6)
+    assert {r["doc_id"]: r["found"] for r in passes.collect()} == found
     assert decontamination.leaks(table(spark, docs), bench.limit(0)).where(F.size("leaks") > 0).count() == 0
 
 
@@ -386,7 +399,7 @@ def test_pipeline(spark):
             assert now == {i: kept[i] for i in set(parts.values())}
         elif name == "benchmark_decontamination":
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
-            assert now == {i: t for i, t in kept.items() if not model_leaks(t, items)}
+            assert now == {i: t for (i, t), leaks in zip(kept.items(), model_leaks(kept.values(), items)) if not leaks}
         else:
             assert now == {i: kept[i] for i in now} and 0 < len(now) < before.count()
         kept = now

@@ -123,10 +123,10 @@ def test_stretches_of_equal_polynomial_hash_are_told_apart(spark):
 def test_op2_and_op4_many_contexts_of_one_anchor(spark, monkeypatch):
     """A passage that many texts share, with other words around it in each."""
     rng = random.Random(8)
-    passage = " ".join(f"p{i}" for i in range(50))
+    passage = " ".join(f"p{i}" for i in range(70))
     rows = [(i, f"{' '.join(f'w{rng.randrange(10**6)}' for _ in range(20))} {passage} {' '.join(f'v{rng.randrange(10**6)}' for _ in range(20))}") for i in range(60)]
     got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeated_windows(table(spark, rows)).collect()}
-    assert got == {i: 50 for i, _ in rows}
+    assert got == {i: 70 for i, _ in rows}
     want = None
     for hot in (1000, 10):
         monkeypatch.setattr(repeats, "HOT", hot)
