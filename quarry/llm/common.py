@@ -38,22 +38,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, tag: str, **options: str) -> DataFrame:
+def stash(df: DataFrame, tag: str, small: bool = False, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage durably.
 
     Shuffle files of the finished jobs are released, so that a long operator doesn't
-    hold the shuffles of all its steps at once. The written table survives executors.
+    hold the shuffles of all its steps at once (``small`` tables leave that to the next one).
+    The written table survives executors.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path, **options)
     back = spark.read.schema(df.schema).parquet(path)
+    back.stashed_at = path
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if not small:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return back
 
 
+def unstash(df: DataFrame) -> None:
+    """Deletes a stashed table that a later one has replaced."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A name for a helper column that no column of ``df`` has (names don't differ by case alone)."""
     taken, out = {c.lower() for c in df.columns}, f"__{name}"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stash
+from quarry.llm.common import stash, unstash
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -37,7 +37,9 @@ def components(links: DataFrame, tag: str) -> DataFrame:
     before = None
     now = sums(links)
     while now != before and now[0]:
-        links = stash(_small_star(_large_star(links).distinct()).distinct(), tag)
+        after = stash(_small_star(_large_star(links).distinct()).distinct(), tag)
+        unstash(links)
+        links = after
         before, now = now, sums(links)
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

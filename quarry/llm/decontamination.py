@@ -27,9 +27,11 @@ K1, B = 1.5, 0.75
 THRESHOLD = 0.6
 SHINGLE, OVERLAP = 5, 0.8
 #: Pieces in a block with one upper bound for each term.
-BLOCK = 16
+BLOCK = 8
 #: Words of items (16 bytes each, or fewer, in the index) that go to all tasks at once; a larger benchmark is searched in several passes, with the same statistics.
 PASS_WORDS = 500_000
+#: Share of the threshold that the passed-over lists of a query may reach together.
+PASSED = 0.3
 #: Sums of single shares may differ in the last places; bounds are taken with this margin.
 MARGIN = 1e-9
 
@@ -150,7 +152,8 @@ class Index:
         base = np.cumsum(count) - count
         here, before = within < count[text], within > 0
         passage = np.concatenate([(base[text] + within)[here], (base[text] + within - 1)[before]])
-        pair = np.unique(passage * np.int64(len(self.terms)) + np.concatenate([term[word][here], term[word][before]]))
+        pair = np.sort(passage * np.int64(len(self.terms)) + np.concatenate([term[word][here], term[word][before]]))
+        pair = pair[np.r_[True, pair[1:] != pair[:-1]][: len(pair)]]
         found = []
         if len(pair):
             passage, term = np.divmod(pair, len(self.terms))
@@ -181,7 +184,7 @@ class Index:
         total = np.cumsum(bound[order])
         total -= np.r_[0.0, total][first][query]
         early = np.empty(len(term), bool)
-        early[order] = total < least
+        early[order] = total < PASSED * least
         rest = np.bincount(query[early], weights=bound[early], minlength=len(first))
 
         late = np.flatnonzero(~early)

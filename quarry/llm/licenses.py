@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from quarry.llm.common import PLAIN, joined_bytes, load, on_text_batches, plain_
 from quarry.llm.rolling import Stretches, word_values
 
 LEAST = 0.8
+#: So many bigrams of no template in a row end a dense stretch.
+GAP = 8
 
 MATCHES = "array<struct<license:string,dice:double,unit:string,start_line:int,end_line:int>>"
 
@@ -43,6 +46,11 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """The licences whose full texts stand in the folder ``texts`` beside this module, by file name."""
+    return [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted(resources.files(__package__).joinpath("texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")]
+
+
 def bigrams(words: list[bytes]) -> Counter:
     """How often each pair of neighbouring words occurs; a single word pairs with nothing."""
     return Counter(zip(words, [*words[1:], b""])) if len(words) == 1 else Counter(zip(words, words[1:]))
@@ -100,15 +108,24 @@ def units(at_line: np.ndarray, line_words: np.ndarray) -> list[tuple[str, int, i
     return out
 
 
+def stretches(known: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Word stretches of a text where bigrams of templates are dense: runs of known ones with fewer than GAP others in a row between. ``known`` counts them up to each word."""
+    at = np.flatnonzero(np.diff(known[lo:hi]) > 0) + lo
+    if len(at) < 2:
+        return []
+    breaks = np.flatnonzero(np.diff(at) > GAP)
+    return [(int(a), int(b) + 2) for a, b in zip(at[np.r_[0, breaks + 1]], at[np.r_[breaks, len(at) - 1]]) if b > a]
+
+
 def scan(texts: pa.Array, templates: Templates) -> list[list[dict]]:
-    """Matches of each text. Only units that could reach the threshold are compared word by word.
+    """Matches of each text: units, and dense stretches within or over them that no matching unit has. Only those that could reach the threshold are compared word by word.
 
     A unit shares with a template at most its bigrams that are in any template, so it can
     reach the threshold only if these are ``ratio`` of its bigrams or more.
     """
     data, offsets = joined_bytes(texts)
     plain = PLAIN[data]
-    values, starts, _, at = word_values(plain, offsets)
+    values, starts, ends, at = word_values(plain, offsets)
     n = len(values)
     known = np.zeros(n + 1, np.int64)
     if n > 1:
@@ -118,7 +135,7 @@ def scan(texts: pa.Array, templates: Templates) -> list[list[dict]]:
     for d in range(len(texts)):
         lines = np.r_[offsets[d], breaks[np.searchsorted(breaks, offsets[d]) : np.searchsorted(breaks, offsets[d + 1])] + 1, offsets[d + 1]]
         first = np.clip(np.searchsorted(starts, lines), at[d], at[d + 1])
-        found = []
+        found, having = [], []
         for kind, a, b in units(lines, np.diff(first)):
             lo, hi = int(first[a]), int(first[b + 1])
             pairs = max(1, hi - lo - 1)
@@ -127,20 +144,31 @@ def scan(texts: pa.Array, templates: Templates) -> list[list[dict]]:
                 best = templates.best(words)
                 if best:
                     found.append({"license": best[0], "dice": round(best[1], 6), "unit": kind, "start_line": a, "end_line": b})
+                    having.append((lo, hi))
+        for lo, hi in stretches(known, int(at[d]), int(at[d + 1])):
+            pairs = hi - lo - 1
+            if any(a <= lo and hi <= b or lo <= a and b <= hi and 2 * (b - a) > hi - lo for a, b in having) or known[hi - 1] - known[lo] < templates.ratio * pairs - 1e-9:
+                continue
+            best = templates.best(plain[starts[lo] : ends[hi - 1]].tobytes().split())
+            if best:
+                a, b = (int(np.searchsorted(lines, starts[w], side="right")) - 1 for w in (lo, hi - 1))
+                found.append({"license": best[0], "dice": round(best[1], 6), "unit": "stretch", "start_line": a, "end_line": b})
         out.append(found)
     return out
 
 
-def licenses(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, result: str = "licenses") -> DataFrame:
-    """``documents`` with an array column ``result``: the lines, paragraphs and whole texts that match a licence template.
+def licenses(documents: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST, result: str = "licenses") -> DataFrame:
+    """``documents`` with an array column ``result``: the lines, paragraphs, whole texts and dense stretches that match a licence template.
 
     Texts are cut into words without case and punctuation; a unit matches the template of
     the largest Dice coefficient over bags of word bigrams, if it is ``least`` or more. Only
-    templates of a size that can reach it are compared. Null and empty texts match nothing.
+    templates of a size that can reach it are compared. A notice of several paragraphs, or
+    within a line of other words, is found as a stretch, where bigrams of templates are dense. Null and empty texts match nothing.
     Rows are scanned one by one, so repeated rows and null ids need no rule. A column already
-    named ``result`` is replaced. Templates are a parameter that goes to all tasks.
+    named ``result`` is replaced. Templates are a parameter that goes to all tasks; without it
+    they are the notices and grants above and the full texts.
     """
-    index = Templates(templates, least)
+    index = Templates(TEMPLATES + full_texts() if templates is None else templates, least)
     return documents.withColumn(result, on_text_batches(lambda texts: scan(texts, index), MATCHES)(F.col("text").cast("string")))
 
 

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import load, on_texts
 
+#: Only for tests and the registered query; real data needs a key of its own, by the parameter or the session's setting.
 KEY = b"quarry public demonstration key"
+SETTING = "spark.quarry.pseudonym.key"
 ROUNDS = 10
 #: Country codes are 1, 7, these, or else three digits; none is the start of another.
 CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
@@ -96,13 +98,16 @@ def card(value: str, key: bytes, back: bool = False) -> str | None:
 
 
 def phone(value: str, key: bytes, back: bool = False) -> str | None:
-    """8 to 15 digits after +, or ten: the digits after the country code (up to a separator, else by list) are permuted."""
+    """8 to 15 digits after +, or ten: the digits after the country code (up to a separator, else by list) are permuted.
+
+    Ten digits without + count as of country code 1, so that both spellings stay linked.
+    """
     d = re.sub(r"\D", "", value)
     code = re.match(r"\+(\d{1,3})(?=[ (.-])", value)
     keep = len(code[1]) if code else CODE.match(d).end() if value[0] == "+" else 0
     if not (8 <= len(d) <= 15 if value[0] == "+" else len(d) == 10):
         return None
-    return _refill(value, d[:keep] + permuted_digits(d[keep:], key, f"phone{d[:keep]}", back))
+    return _refill(value, d[:keep] + permuted_digits(d[keep:], key, f"phone{d[:keep] or 1}", back))
 
 
 def social(value: str, key: bytes, back: bool = False) -> str | None:
@@ -151,9 +156,10 @@ def date(value: str, key: bytes, back: bool = False) -> str | None:
 
 
 def email(value: str, key: bytes, back: bool = False) -> str | None:
-    """The part before @ is permuted; the domain stays."""
+    """The part before @ is permuted regardless of case, which stays, so that spellings of one address stay linked; the domain stays."""
     name, _, domain = value.rpartition("@")
-    return f"{permuted_characters(name, key, 'email', back)}@{domain}"
+    new = permuted_characters(name.lower(), key, "email", back)
+    return f"{''.join(c.upper() if old in UPPER else c for old, c in zip(name, new))}@{domain}"
 
 
 def secret(value: str, key: bytes, back: bool = False) -> str | None:
@@ -210,14 +216,16 @@ def pseudonymise(text: str | None, key: bytes = KEY, back: bool = False) -> dict
     return {"n_found": len(taken), "matches": [{"kind": k, "start": s, "end": e} for s, e, k, _ in taken], "text": "".join([*out, text[at:]])}
 
 
-def pseudonyms(documents: DataFrame, key: bytes = KEY, result: str = "pii", back: bool = False) -> DataFrame:
+def pseudonyms(documents: DataFrame, key: bytes | None = None, result: str = "pii", back: bool = False) -> DataFrame:
     """``documents`` with a struct column ``result``: the number found, kind, start and end (characters of the old text) of each, and the new text.
 
     Cards must pass their check digit, dates and addresses exist, numbers have a possible
     length; what fails stays as it is. With ``back`` the same key restores the text. A null
     text stays null with none found. Rows are handled one by one, so repeated rows and null
-    ids need no rule. A column already named ``result`` is replaced.
+    ids need no rule. A column already named ``result`` is replaced. The key is the parameter, else the
+    session's ``SETTING``, else the public demonstration key.
     """
+    key = key or documents.sparkSession.conf.get(SETTING, "").encode() or KEY
     found = on_texts(lambda texts: [pseudonymise(t, key, back) for t in texts], RESULT)
     return documents.withColumn(result, found(F.col("text").cast("string")))
 

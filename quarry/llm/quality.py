@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import load, on_texts
+from quarry.llm.common import free_name, load, on_texts
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -124,7 +124,7 @@ def line_quality(documents: DataFrame, result: str = "quality") -> DataFrame:
 
 def keep_good(documents: DataFrame) -> DataFrame:
     """The documents that are kept, with the lines that pass as their text; columns as they were."""
-    name = "__quality"
+    name = free_name(documents, "quality")
     kept = line_quality(documents, name).where(F.col(f"{name}.kept"))
     columns = [F.col(f"{name}.text").alias(c) if c == "text" else F.length(f"{name}.text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns]
     return kept.select(*columns)

@@ -333,33 +333,62 @@ def test_token_counts_after_edits(spark):
 
 def test_mixing(spark):
     rng = random.Random(31)
-    rows = [(i, prose(rng, rng.randrange(5, 60)), rng.choice(["en", "en", "fr", None]), rng.choice(["a", "a", "a", "b", None]), 1) for i in range(600)] + [(600, None, "en", "a", None), (601, "", None, None, 0)]
+    rows = [(i, prose(rng, rng.randrange(5, 60)).replace("w", "wording"), rng.choice(["en", "en", "fr", None]), rng.choice(["a", "a", "a", "b", None]), 1) for i in range(600)] + [(600, None, "en", "a", None), (601, "", None, None, 0)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     one = {r["doc_id"]: r["mix"] for r in mixing.mixed(df).collect()}
-    two = {r["doc_id"]: r["mix"] for r in mixing.mixed(df.repartition(7), most_cells=1).collect()}
-    assert one.keys() == two.keys() and all(abs(one[i]["probability"] - two[i]["probability"]) < 1e-6 for i in one)
-    assert sum(one[i]["sampled"] != two[i]["sampled"] for i in one) <= 1
-    total = sum(m["n_tokens"] for m in one.values())
-    assert abs(sum(m["n_tokens"] * m["probability"] for m in one.values()) - 0.7 * total) < 1e-6 * total
-    cells = {}
+    two = {r["doc_id"]: r["mix"] for r in mixing.mixed(df.repartition(7)).collect()}
+    assert one.keys() == two.keys() and all(abs(one[i]["probability"] - two[i]["probability"]) < 1e-9 and one[i]["sampled"] == two[i]["sampled"] for i in one)
+    assert one[600]["topic"] == one[601]["topic"] == "(none)" and len({m["topic"] for m in one.values()}) > 4
+    cells = Counter()
+    for i, _, lang, source, _ in rows:
+        cells[(source or "(none)", lang or "(none)", one[i]["topic"])] += one[i]["n_tokens"]
+    share, chance = model_mix(cells, 0.7)
     for i, _, lang, source, _ in rows:
-        cells[(source or "(none)", lang or "(none)", one[i]["topic"])] = one[i]["weight"]
-    sizes = Counter()
-    for i, _, _, source, _ in rows:
-        sizes[source or "(none)"] += one[i]["n_tokens"]
-    want = mixing.shares(sizes, None)
-    for s, w in want.items():
-        assert abs(sum(v for k, v in cells.items() if k[0] == s) - w) < 1e-3
-    only = mixing.sample_mix(df, targets={"source": {"b": 1.0}})
-    assert {r["source"] for r in only.select("source").distinct().collect()} == {"b"} and only.columns == df.columns
-
-
-def test_raking_meets_both_marginals():
-    t = np.array([10.0, 20, 30, 40])
-    w = mixing.rake(t, np.array([[0, 0, 1, 1], [0, 1, 0, 1]]), [np.array([0.5, 0.5]), np.array([0.3, 0.7])])
-    assert np.allclose([w[:2].sum(), w[::2].sum()], [0.5, 0.3])
-    p = mixing.calibrated(t, w, 60)
-    assert abs((p * t).sum() - 60) < 1e-9 and p.max() <= 1
+        c = (source or "(none)", lang or "(none)", one[i]["topic"])
+        assert abs(one[i]["weight"] - share[c]) < 1e-5 and abs(one[i]["probability"] - chance[c]) < 1e-4
+    total = sum(cells.values())
+    assert abs(sum(m["n_tokens"] * m["probability"] for m in one.values()) - 0.7 * total) < 1e-6 * total
+    sampled = sum(m["n_tokens"] for m in one.values() if m["sampled"])
+    assert abs(sampled - 0.7 * total) < 0.1 * total
+    only = mixing.sample_mix(df.withColumns({"__mix": F.lit(1), "__MIX_t": F.lit(2), "__sample": F.lit(3)}), targets={"source": {"b": 1.0}})
+    assert {r["source"] for r in only.select("source").distinct().collect()} == {"b"} and only.columns == [*df.columns, "__mix", "__MIX_t", "__sample"]
+    assert {tuple(r) for r in only.select("__mix", "__MIX_t", "__sample").distinct().collect()} == {(1, 2, 3)}
+
+
+def model_mix(cells, budget):
+    """Shares by 2,000 sweeps over a dict, and probabilities with the scale found by bisection."""
+    total = sum(cells.values())
+    w = {c: n / total for c, n in cells.items()}
+    targets = []
+    for d in range(3):
+        size = Counter()
+        for c, n in cells.items():
+            size[c[d]] += n
+        raw = {k: v**0.5 for k, v in size.items()}
+        targets.append({k: v / sum(raw.values()) for k, v in raw.items()})
+    for _ in range(2000):
+        for d, target in enumerate(targets):
+            now = Counter()
+            for c, v in w.items():
+                now[c[d]] += v
+            w = {c: v * target[c[d]] / now[c[d]] if now[c[d]] else 0.0 for c, v in w.items()}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        s = (low + high) / 2
+        low, high = (s, high) if sum(min(cells[c], s * w[c]) for c in cells) < budget * total else (low, s)
+    return w, {c: min(1.0, high * w[c] / cells[c]) if cells[c] else 0.0 for c in cells}
+
+
+def test_raking_meets_all_marginals(spark):
+    rows = [(s, l, t, n) for n, (s, l, t) in enumerate(((s, l, t) for s in "ab" for l in "xy" for t in "pq"), 10)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    wanted = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.3, "y": 0.7}, "topic": {"p": 0.9, "q": 0.1}}
+    found = mixing.calibrate(mixing.rake(cells, {d: mixing.marginal(cells, d, t) for d, t in wanted.items()}), 60.0)
+    for d, t in wanted.items():
+        got = {r[d]: r["w"] for r in found.groupBy(d).agg(F.sum("w").alias("w")).collect()}
+        assert all(abs(got[k] - v) < 1e-5 for k, v in t.items())
+    assert abs(found.agg(F.sum(F.col("p") * F.col("tokens"))).first()[0] - 60) < 1e-6 and found.agg(F.max("p")).first()[0] <= 1
+    assert mixing.calibrate(found, 1e6).where("p < 1").count() == 0
 
 
 @pytest.mark.parametrize("name", ["op2", "op4", "op5", "op6", "op7", "op1", "op3", "op8", "op10", "op9"])

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quarry.llm import decontamination, near_copies, pseudonyms, repeats, substring_dedup, suffix_dedup
+from quarry.llm import decontamination, licenses, near_copies, pseudonyms, repeats, substring_dedup, suffix_dedup
 from quarry.llm.common import joined_bytes
 from quarry.llm.rolling import word_values
 
@@ -133,3 +135,70 @@ def test_op2_and_op4_many_contexts_of_one_anchor(spark, monkeypatch):
         found = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in suffix_dedup.remove_repeated_strings(table(spark, rows)).collect()}
         assert want in (None, found) and all(n >= len(passage) for n, _ in found.values())
         want = found
+
+
+def model_dice(a, b):
+    grams = lambda t: Counter(zip(*(lambda w: (w, w[1:]))(re.findall(r"[a-z0-9\x80-\uffff]+", t.lower()))))
+    x, y = grams(a), grams(b)
+    return 2 * sum(min(n, y[g]) for g, n in x.items()) / max(1, sum(x.values()) + sum(y.values()))
+
+
+def test_op8_whole_licences_and_stretches(spark):
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and t.startswith("Permission"))
+    parts = re.split(r"(?<=conditions: )|(?<=Software\. )(?=THE)", mit)
+    assert len(parts) == 3
+    filler = " ".join(f"word{i}" for i in range(300))
+    full = dict(licenses.full_texts())
+    rows = [(0, f"{filler}\n\n" + "\n\n".join(parts) + f"\n\n{filler}\n\n{filler}"), (1, f"{filler} {mit} {filler}"), (2, full["GPL-3.0"]), (3, f"{filler}\n{full['Apache-2.0']}\n{filler}"), (4, f"{filler} of the software and the rights of all {filler}")]
+    got = {r["doc_id"]: {(m["license"], m["unit"]) for m in r["licenses"]} for r in licenses.licenses(table(spark, rows)).collect()}
+    assert got == {0: {("MIT", "stretch")}, 1: {("MIT", "stretch")}, 2: {("GPL-3.0", "text")}, 3: {("Apache-2.0", "line"), ("Apache-2.0", "text")}, 4: set()}
+
+
+def test_op8_coefficients_equal_the_model(spark):
+    """Every line of texts made of noisy templates against all templates, without size bounds."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):
+        words = rng.choice(licenses.TEMPLATES)[1].split()
+        texts.append(" ".join(w if rng.random() > 0.06 else f"x{rng.randrange(99)}" for w in words if rng.random() > 0.04))
+    got = {r["doc_id"]: max((m["dice"] for m in r["licenses"] if m["unit"] == "line"), default=0) for r in licenses.licenses(table(spark, list(enumerate(texts))), licenses.TEMPLATES).collect()}
+    for i, t in enumerate(texts):
+        best = max(model_dice(t, x) for _, x in licenses.TEMPLATES)
+        assert got[i] == (round(best, 6) if best >= 0.8 else 0)
+    assert sum(v > 0 for v in got.values()) > 20
+
+
+def test_op3_against_a_model(spark):
+    """A Feistel network written anew, over cards and dates found by plain string tests."""
+    import datetime
+    import hashlib
+
+    def network(value, size, tweak):
+        half = max(1, ((size - 1).bit_length() + 1) // 2)
+        person = hashlib.blake2b(f"{tweak}:{size}".encode(), digest_size=16).digest()
+        while True:
+            a, b = value // 2**half, value % 2**half
+            for i in range(pseudonyms.ROUNDS):
+                width = (half + 7) // 8
+                f = hashlib.blake2b(bytes([i]) + b.to_bytes(width, "big"), digest_size=max(8, width), key=pseudonyms.KEY, person=person).digest()
+                a, b = b, a ^ int.from_bytes(f, "big") % 2**half
+            value = a * 2**half + b
+            if value < size:
+                return value
+
+    rng = random.Random(6)
+    for _ in range(50):
+        payload = "".join(rng.choice("0123456789") for _ in range(15))
+        number = payload + pseudonyms.luhn_digit(payload)
+        new = payload[0] + str(network(int(payload[1:]), 10**14, f"card{payload[0]}")).zfill(14)
+        assert pseudonyms.pseudonymise(f"a {number} b")["text"] == f"a {new}{pseudonyms.luhn_digit(new)} b"
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73049))
+        moved = datetime.date(1900, 1, 1) + datetime.timedelta(network((day - datetime.date(1900, 1, 1)).days, 73049, "date"))
+        assert pseudonyms.pseudonymise(f"on {day}.")["text"] == f"on {moved}."
+
+
+def test_op3_spellings_stay_linked():
+    one, two = (pseudonyms.pseudonymise(t)["text"] for t in ("jo.doe7@example.com", "Jo.DOE7@example.com"))
+    assert one != "jo.doe7@example.com" and one == two.lower() and two[0].isupper() and pseudonyms.pseudonymise(two, back=True)["text"] == "Jo.DOE7@example.com"
+    digits = lambda t: re.sub(r"\D", "", pseudonyms.pseudonymise(t)["text"])
+    assert digits("+1 415-555-0123") == "1" + digits("(415) 555-0123") == "1" + digits("415-555-0123")
