@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import numeric, text
+from quarry.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -52,24 +53,30 @@ class Filters:
 
 def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
     """chunk_id, token, tf, doc_len: one row for each different token of a chunk."""
-    own = chunks.select("chunk_id", text.tokens(F.col(content)).alias("t")).withColumn("doc_len", F.size("t"))
-    return own.select("chunk_id", "doc_len", F.explode("t").alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    own = chunks.select("chunk_id", text.words(F.col(content)).alias("t"))
+    return own.select("chunk_id", F.size("t").alias("doc_len"), F.explode("t").alias("token")).groupBy("chunk_id", F.lower("token").alias("token")).agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
 def corpus_stats(chunks: DataFrame, content: str = "content") -> DataFrame:
     """One row: n chunks and their mean length in tokens, over all chunks, whatever a search filters."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(text.tokens(F.col(content)))).alias("mean_len"))
+    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(text.words(F.col(content)))).alias("mean_len"))
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame, content: str = "content") -> DataFrame:
     """query_id, chunk_id, score > 0. A token that a query has twice counts twice.
 
-    Tokens of the queries cut the postings before they are counted, so only matching postings are shuffled.
+    Texts are tokenised once. Tokens of the queries cut the postings before they are shuffled;
+    these and one row for each chunk, of its length, are written, and all statistics come from there.
     """
-    asked = queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    own = postings(chunks, content).join(asked.select("token").distinct(), "token", "left_semi")
+    asked = written(queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf")), "asked")
+    every = F.lit("")  # no token; stands for the chunk as a whole
+    wanted = asked.select("token").distinct().unionByName(asked.sparkSession.range(1).select(every.alias("token")))
+    own = chunks.select("chunk_id", text.words(F.col(content)).alias("t")).select("chunk_id", F.size("t").alias("doc_len"), F.explode(F.concat(F.array(every), "t")).alias("token"))
+    own = own.select("chunk_id", "doc_len", F.lower("token").alias("token")).join(wanted, "token", "left_semi")
+    own = written(own.groupBy("chunk_id", "token").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")), "postings")
+    stats = own.where("token = ''").agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean_len"))
+    own = own.where("token <> ''")
     df = own.groupBy("token").agg(F.count("*").alias("df"))
-    stats = corpus_stats(chunks, content)
     weighed = own.join(df, "token").join(F.broadcast(stats))  # stats is one row
     score = numeric.bm25(F.col("tf"), F.col("doc_len"), F.col("mean_len"), numeric.bm25_weight(F.col("n"), F.col("df")))
     return weighed.select("token", "chunk_id", score.alias("s")).join(asked, "token").groupBy("query_id", "chunk_id").agg(F.sum(F.col("s") * F.col("qtf")).alias("score")).where("score > 0")
@@ -218,7 +225,8 @@ def term_search(chunks: DataFrame, query: str, scan: int = 20, keep: int = 8, te
 def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, filters: Filters = Filters(), role: str = "member", each: int = 20, k: int = 8) -> DataFrame:
     """The hybrid search: both branches' best, fused, visible, with evidence. Filters cut hits, never the statistics."""
     keep = chunks.where(filters.predicate(chunks.columns)).select("chunk_id")
-    words = top(bm25_scores(queries, chunks).join(keep, "chunk_id", "left_semi"), each)
+    scores = bm25_scores(queries, chunks)
+    words = top(scores if filters == Filters() else scores.join(keep, "chunk_id", "left_semi"), each)
     near = top(cosine_top(queries, vectors.join(keep, "chunk_id", "left_semi"), each), each)
     return evidence(fuse(near, words), chunks, role=role, k=k)
 
@@ -232,8 +240,8 @@ def page_search(cases: DataFrame, pages: DataFrame, vectors: DataFrame, k: int =
     scoped = cases.select("query_id", F.explode("scope").alias("document_id"))
     asked = cases.select("query_id", F.explode(text.token_set(F.col("query"))).alias("token"))
     own = pages.select("chunk_id", "document_id", F.explode(text.token_set(F.col("content"))).alias("token"))
-    shared = own.join(asked, "token").groupBy("query_id", "chunk_id", "document_id").agg(F.count("*").alias("score"))
-    words = top(shared.join(scoped, ["query_id", "document_id"], "left_semi"), each)
+    shared = own.join(asked.join(scoped.distinct(), "query_id"), ["document_id", "token"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
+    words = top(shared, each)
     allowed = pages.select("chunk_id", "document_id").join(vectors, "chunk_id").join(scoped, "document_id").join(cases.select("query_id", F.col("embedding").alias("q")), "query_id")
     near = top(allowed.select("query_id", "chunk_id", numeric.cosine(F.col("q"), F.col("embedding")).alias("score")), each)
     return top(fuse(near, words), k)

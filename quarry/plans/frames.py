@@ -42,7 +42,9 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    """Embeddings of chunks: those with the id of a document."""
+    ids = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"))
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(ids, "chunk_id", "left_semi")
 
 
 CHUNKS_SQL = "chunks AS (SELECT d.doc_id AS chunk_id, d.source AS document_id, d.text AS content, d.lang, d.n_chars, CASE WHEN l.toxic = 1 THEN 'staff_only' ELSE 'public' END AS visibility FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, toxic FROM labels WHERE toxic = 1) l ON l.doc_id = d.doc_id)"
@@ -59,7 +61,7 @@ words AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY quer
 """
 COSINE_SQL = """
 cosine AS (SELECT q.item_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
-  FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id, embeddings v),
+  FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id, embeddings v WHERE v.vec_id IN (SELECT doc_id FROM documents)),
 near AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round_even(score, 6) DESC, chunk_id) AS rank FROM cosine QUALIFY rank <= 20)
 """
 FUSED_SQL = "fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, chunk_id, rank FROM near UNION ALL SELECT query_id, chunk_id, rank FROM words) GROUP BY query_id, chunk_id)"

@@ -15,8 +15,11 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quarry").rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only in local mode, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "file:///tmp/checkpoints/quarry").rstrip("/")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -220,6 +220,8 @@ def test_json(spark):
     rows = [('{"x": [{"Step_Scores": 1}]}',), ('{"x": "\\"rubric\\": 1"}',), ('{"rubric_hidden": {"private": 1}}',)]
     assert values(spark, rows, "t string", jsons.has_key(F.col("t"))) == [True, False, True]
     assert values(spark, rows, "t string", jsons.leaks(F.col("t"))) == [["$.x[0].Step_Scores"], [], ["$.rubric_hidden.private"]]
+    rows = [('{"a": [[1, {"Private": 2}], "x:", {"b": "private", "rubric": {"step_scores": []}}], "$$about": {"rubric": 1}, "rubric": 0}',), ("no json",), (None,), ('{"p\\"": [",", "]"], "l": [{}, {}, {"private": 1}]}',)]
+    assert values(spark, rows, "t string", jsons.leaks(F.col("t"))) == [["$.a[0][1].Private", "$.a[2].rubric", "$.a[2].rubric.step_scores", "$.rubric"], None, None, ["$.l[2].private"]]
     schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "string", "minLength": 2, "enum": ["ab", "c"], "pattern": "^a"}}}
     rows = [('{"k": "ab"}',), ('{"k": "c"}',), ("{}",), ('{"k": 5}',), ("[]",), ("no",)]
     got = values(spark, rows, "t string", jsons.schema_errors(F.col("t"), schema))
