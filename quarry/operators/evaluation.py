@@ -166,3 +166,8 @@ def latency(results: DataFrame, column: str = "latency_ms") -> DataFrame:
     at = lambda k: order_statistic(x, "v", k)
     p50 = (at((n - 1) // 2) + at(n // 2)) / 2
     return x.sparkSession.createDataFrame([(n, p50, at(max(0, -(-95 * n // 100) - 1)), at(min(95 * n // 100, n - 1)), most)], schema)
+
+
+def case_format(case_id: Column, query: Column) -> tuple[Column, Column, Column]:
+    """Whether an id is db- with three digits, a query has 4 to 300 characters, and it holds a local absolute path."""
+    return case_id.rlike(r"^db-\d{3}$"), F.length(query).between(4, 300), query.rlike(r"[A-Za-z]:[\\/]")

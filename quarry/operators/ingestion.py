@@ -46,12 +46,17 @@ def marked_headings(content: Column) -> Column:
 OCR_TYPES = {"text": "text", "paragraph": "text", "title": "text", "formula": "formula", "table": "table", "figure": "figure", "image": "figure"}
 
 
+def ocr_type(raw: Column) -> Column:
+    """The type of an engine's block; unknown ones are text."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in OCR_TYPES.items() for x in kv])[raw], F.lit("text"))
+
+
 def ocr_blocks(raw: DataFrame) -> DataFrame:
     """OCR items (type, text, bbox of 4 or 8 numbers, confidence) as blocks: the bounding rectangle, the type, table text."""
     box = F.col("bbox")
     xs, ys = F.filter(box, lambda x, i: i % 2 == 0), F.filter(box, lambda x, i: i % 2 == 1)
     rect = F.when(F.size(box) == 4, box).when(F.size(box) == 8, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))).otherwise(F.array(*[F.lit(0.0)] * 4))
-    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in OCR_TYPES.items() for x in kv])[F.col("type")], F.lit("text"))
+    kind = ocr_type(F.col("type"))
     body = F.coalesce(F.col("text"), F.lit(""))
     return raw.select("document_id", "page_no", "reading_order", rect.alias("bbox"), kind.alias("block_type"), F.when(kind == "table", text.table_text(body)).otherwise(body).alias("content"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
 

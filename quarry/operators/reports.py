@@ -158,3 +158,11 @@ def snapshot_checksums(df: DataFrame, *by: str) -> DataFrame:
     """Rows and an order-free checksum of a table, to compare a copy with."""
     names = [f.name for f in df.schema if not f.dataType.simpleString().startswith("map")]
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*names)).alias("checksum"))
+
+
+def retried(jobs: DataFrame, most: int = 3) -> DataFrame:
+    """Jobs after a manual retry: failed ones are queued again, without a lease, or given up after ``most`` attempts; others stay."""
+    failed = F.col("status") == "failed"
+    out = jobs.withColumn("status", F.when(failed & (F.col("attempts") >= most), "failed_permanent").when(failed, "queued").otherwise(F.col("status")))
+    leased = [c for c in ("lease_until", "lease_holder") if c in jobs.columns]
+    return out.withColumns({c: F.when(F.col("status") != "queued", F.col(c)) for c in leased})
