@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import decontamination, licenses, mixing, pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_files
+from quarry.llm import byte_bpe, clustering, collocations, decontamination, licenses, mixing, pseudonyms, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": licenses.op8_licenses,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_mixing": mixing.op10_mixing,
+        "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_clusters": clustering.op13_clusters,
         "pipeline": corpus_pipeline.run,
     }
 
