@@ -23,7 +23,7 @@ from quarry.llm.tokens import _stretches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens that are no token, whose ids a worker keeps; a full table starts anew.
-KEPT = 1 << 20
+KEPT = 1 << 18
 #: Bytes of text that are worked on together; a longer text is cut before white space.
 SECTION = 1 << 20
 
@@ -48,11 +48,12 @@ def kinds() -> np.ndarray:
     import tiktoken
 
     single = {bytes([i]): i for i in range(256)}
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     out = np.full(0x110000, OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        matched = bytes(tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(every))
-        out[np.frombuffer(matched.decode().encode("utf-32-le"), np.uint32)] = kind
+        engine = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        for plane in range(0, 0x110000, 0x4000):
+            every = "".join(chr(c) for c in range(plane, plane + 0x4000) if not 0xD800 <= c < 0xE000)
+            out[np.frombuffer(bytes(engine.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
