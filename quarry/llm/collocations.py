@@ -3,8 +3,9 @@
 Texts are gathered into blocks of one language. A block has, for each of its words, the list of
 places at which it stands. The list of a phrase is extended by a word by merging its places with
 those of the words that follow; the sum of the lists' lengths over all blocks is the phrase's
-exact frequency, and only lists of frequent phrases are kept. No task needs more than a block,
-and no set of phrases is broadcast or collected: each block is told which of its own phrases are frequent.
+exact frequency, and only lists of frequent phrases are kept. No task needs more than a block:
+each is told which of its own phrases are frequent, by a join that takes the frequent ones to all
+tasks only where they have been counted and are few.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ LEAST, LONGEST, KEPT = 100, 5, 2000
 BLOCK = 1 << 21
 #: Bytes of text that a task holds while blocks of several languages fill.
 HELD = 1 << 24
+#: Frequent phrases of a length up to which they go to all tasks; more are joined by key.
+FEW = 1 << 20
 #: Shares in which the rows of a language are ranked before they meet.
 SALTS = 64
 
@@ -166,20 +169,23 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
         counted = one.groupBy(*keys).agg(F.sum("m").alias("a")).where(F.col("a") >= least)
         level = counted.select(F.monotonically_increasing_id().alias("gid"), "*")
         if k > 1:
-            level = stash(level, "phrase-level", small=True)  # ids are fixed before they are used
+            level = stash(level, "phrase-level")  # ids are fixed before they are used
             before = every.where(F.col("size") == k - 1).select(F.col("gid").alias("prefix"), "lang", F.col("phrase").alias("head"))
             named = level.join(before, "prefix").join(words, "suffix")
             named = named.select("gid", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), F.lit(k).alias("size"), "a")
         else:
-            level = named = stash(level.select("gid", "lang", "phrase", F.lit(1).alias("size"), "a"), "phrase-level", small=True)
+            level = named = stash(level.select("gid", "lang", "phrase", F.lit(1).alias("size"), "a"), "phrase-level")
             words = level.select(F.col("gid").alias("suffix"), F.col("phrase").alias("tail"))
         every = named if every is None else every.unionByName(named)
         if k == longest:
             break
-        mine = one.join(level.select("gid", *keys), keys).groupBy("block").agg(F.collect_list(F.struct("local", "gid")).alias("f"))
+        told = level.select("gid", *keys)
+        mine = one.join(F.broadcast(told) if level.count() <= FEW else told, keys).groupBy("block").agg(F.collect_list(F.struct("local", "gid")).alias("f"))
         found = mine.select("block", F.col("f.local").alias("local"), F.col("f.gid").alias("gid"))
+        del counted, one, mine  # nothing else holds their shuffles
         after = stash(step(state, found, k), "phrase-lists", compression="zstd")
         unstash(state)
+        del found, told
         state, keys = after, ["prefix", "suffix"]
         one = state.select("block", F.posexplode(F.arrays_zip("prefix", "suffix", "sizes")).alias("local", "x"))
         one = one.select("block", "local", F.col("x.prefix").alias("prefix"), F.col("x.suffix").alias("suffix"), F.col("x.sizes").alias("m"))
