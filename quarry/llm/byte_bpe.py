@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import joined_bytes, load, mixed, on_text_batches
+from quarry.llm.common import joined_bytes, load, mixed, on_text_batches, slices
 from quarry.llm.tokens import _stretches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -317,11 +318,19 @@ def decode(ids: str | Column, ranks: str | None = None) -> Column:
 def round_trip(documents: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, ids and decoded of each document, row by row: repeated rows, null ids and ties stay as they are; an empty table gives none.
 
-    Other columns, whatever their names, are not read.
+    Ids are decoded where they were found. Other columns, whatever their names, are not read.
     """
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    ids = docs.select("doc_id", encode("text", ranks).alias("ids"))
-    return ids.select("doc_id", "ids", decode("ids", ranks).alias("decoded"))
+    path = ranks_path(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SECTION):
+            ids, at = coder(path).encode(batch.column("text"))
+            decoded = coder(path).decode(ids, at)
+            binary = [pa.array(_cut(*x), pa.binary()) for x in ((ids.astype("<u4").view(np.uint8), 4 * at), decoded)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *binary], names=["doc_id", "ids", "decoded"])
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
