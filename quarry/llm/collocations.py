@@ -29,7 +29,7 @@ BLOCK = 1 << 21
 #: Bytes of text that a task holds while blocks of several languages fill.
 HELD = 1 << 24
 #: Frequent phrases of a length up to which they go to all tasks; more are joined by key.
-FEW = 1 << 20
+FEW = 1 << 18
 #: Shares in which the rows of a language are ranked before they meet.
 SALTS = 64
 
@@ -118,8 +118,50 @@ def extended(phrases: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np
 STATE = "block long, words array<long>, word_sizes array<int>, word_at binary, prefix array<long>, suffix array<long>, sizes array<int>, at binary"
 
 
-def step(state: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """The next state of each block: its frequent phrases of ``k`` words, extended by a word each, and the word lists that may still be needed."""
+class Told:
+    """A counted, small set of frequent phrases, for all tasks: finds those of a block."""
+
+    def __init__(self, level: DataFrame, k: int):
+        found = level.toArrow()
+        gid = found.column("gid").to_numpy()
+        if k == 1:
+            self.words: defaultdict[str, dict[str, int]] = defaultdict(dict)
+            for lang, word, i in zip(found.column("lang").to_pylist(), found.column("phrase").to_pylist(), gid.tolist()):
+                self.words[lang][word] = i
+            return
+        self.words = None
+        self.heads, head = np.unique(found.column("prefix").to_numpy(), return_inverse=True)
+        self.tails, tail = np.unique(found.column("suffix").to_numpy(), return_inverse=True)
+        key = head * max(1, len(self.tails)) + tail
+        order = np.argsort(key)
+        self.key, self.gid = key[order], gid[order]
+
+    def of_words(self, lang: str, words: list[str]) -> np.ndarray:
+        own = self.words.get(lang, {})
+        return np.array([own.get(w, -1) for w in words], np.int64)
+
+    def of_pairs(self, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(prefix), -1, np.int64)
+        head, tail = (np.minimum(np.searchsorted(known, x), len(known) - 1) for known, x in ((self.heads, prefix), (self.tails, suffix)))
+        key = head * len(self.tails) + tail
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.heads[head] == prefix) & (self.tails[tail] == suffix) & (self.key[at] == key), self.gid[at], -1)
+
+
+def step(state: DataFrame, level: DataFrame, one: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The next state of each block: its frequent phrases of ``k`` words, extended by a word each, and the word lists that may still be needed.
+
+    Up to ``FEW`` frequent phrases go to all tasks; of more, each block gets its own by joins.
+    """
+    lists = ["block", "sizes", "at", *([] if k == 1 else ["words", "word_sizes", "word_at"])]
+    told = None
+    if level.count() <= FEW:
+        told = state.sparkSession.sparkContext.broadcast(Told(level.select("gid", *keys), k))
+        rows = state.select(*lists, *(["lang", "keys"] if k == 1 else keys))
+    else:
+        mine = one.join(level.select("gid", *keys), keys).groupBy("block").agg(F.collect_list(F.struct("local", "gid")).alias("f"))
+        rows = state.join(mine.select("block", F.col("f.local").alias("local"), F.col("f.gid").alias("gid")), "block").select(*lists, "local", "gid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,9 +169,14 @@ def step(state: DataFrame, found: DataFrame, k: int) -> DataFrame:
                 row = {n: batch.column(n)[i] for n in batch.schema.names}
                 numbers = lambda n, kind=np.int64: row[n].values.to_numpy(zero_copy_only=False).astype(kind)
                 places = lambda n: np.frombuffer(row[n].as_py(), np.int32)
-                keep, ids = numbers("local"), numbers("gid")
-                order = np.argsort(keep)
-                keep, ids = keep[order], ids[order]
+                if told is None:
+                    keep, ids = numbers("local"), numbers("gid")
+                    order = np.argsort(keep)
+                    keep, ids = keep[order], ids[order]
+                else:
+                    ids = told.value.of_words(row["lang"].as_py(), row["keys"].as_py()) if k == 1 else told.value.of_pairs(numbers("prefix"), numbers("suffix"))
+                    keep = np.flatnonzero(ids >= 0)
+                    ids = ids[keep]
                 lists = kept_lists(numbers("sizes"), places("at"), keep)
                 words, word_ids = (lists, ids) if k == 1 else ((numbers("word_sizes"), places("word_at")), numbers("words"))
                 prefix, word, sizes, at = extended(lists, words, k)
@@ -149,9 +196,7 @@ def step(state: DataFrame, found: DataFrame, k: int) -> DataFrame:
                     names=["block", "words", "word_sizes", "word_at", "prefix", "suffix", "sizes", "at"],
                 )
 
-    joined = state.join(found, "block")
-    columns = ["block", "sizes", "at", "local", "gid", *([] if k == 1 else ["words", "word_sizes", "word_at"])]
-    return joined.select(*columns).mapInArrow(run, STATE)
+    return rows.mapInArrow(run, STATE)
 
 
 def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -179,13 +224,9 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
         every = named if every is None else every.unionByName(named)
         if k == longest:
             break
-        told = level.select("gid", *keys)
-        mine = one.join(F.broadcast(told) if level.count() <= FEW else told, keys).groupBy("block").agg(F.collect_list(F.struct("local", "gid")).alias("f"))
-        found = mine.select("block", F.col("f.local").alias("local"), F.col("f.gid").alias("gid"))
-        del counted, one, mine  # nothing else holds their shuffles
-        after = stash(step(state, found, k), "phrase-lists", compression="zstd")
+        after = stash(step(state, level, one, keys, k), "phrase-lists", compression="zstd")
         unstash(state)
-        del found, told
+        del counted, one  # nothing else holds their shuffles
         state, keys = after, ["prefix", "suffix"]
         one = state.select("block", F.posexplode(F.arrays_zip("prefix", "suffix", "sizes")).alias("local", "x"))
         one = one.select("block", "local", F.col("x.prefix").alias("prefix"), F.col("x.suffix").alias("suffix"), F.col("x.sizes").alias("m"))

@@ -75,6 +75,8 @@ def test_round_trip(spark, library, texts):
     got = Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in byte_bpe.round_trip(df).collect())
     assert got == Counter((i, np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, _ in rows)
     assert byte_bpe.round_trip(df.limit(0)).collect() == []
+    columns = df.select(byte_bpe.encode("text").alias("e")).select("e", byte_bpe.decode("e").alias("d"))
+    assert Counter((bytes(r["e"]), bytes(r["d"])) for r in columns.collect()) == Counter(x[1:] for x in got.elements())
 
 
 def test_op11_digests(spark, library):
@@ -120,10 +122,11 @@ def phrase_rows():
     return rows + [(1, None, "en"), (2, "", None), (3, " .. \n", "fr"), (4, "a " * 3000, "de"), (5, "x", "")]
 
 
-@pytest.mark.parametrize("block", [1 << 21, 300])
-def test_collocations(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, few", [(1 << 21, 1 << 18), (300, 1 << 18), (300, 0)])
+def test_collocations(spark, monkeypatch, block, few):
     rows = phrase_rows()
     monkeypatch.setattr(collocations, "BLOCK", block)
+    monkeypatch.setattr(collocations, "FEW", few)
     df = clashing(spark.createDataFrame(rows, SCHEMA)).repartition(4)
     columns = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     got = sorted(tuple(r[c] for c in columns) for r in collocations.collocations(df, 6, 5, 12).collect())
