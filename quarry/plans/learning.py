@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators import grading as G
 from quarry.operators import ordered as O
 from quarry.operators import reports as R
 from quarry.plans import frames
 from quarry.plans.frames import SUBMISSIONS_SQL
 from quarry.plans.registry import query
-from quarry.sources.tables import read
+from quarry.sources.store import Store
+from quarry.sources.tables import read, shared_dir
 
 S = f"WITH {SUBMISSIONS_SQL}"
 ORDER = ["ts", "event_id"]
@@ -207,3 +211,60 @@ def suggestions(spark, d):
     ratio = F.sum("l_quantity") / (F.count("*") * 50)
     found = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("session_id")).agg(text.suggestion(ratio).alias("s"))
     return found.select("session_id", F.when(F.col("s").contains("重新"), 1).when(F.col("s").contains("巩固"), 2).otherwise(3).alias("advice"))
+
+
+def requests(spark, d):
+    """An event as a request of its user for one of 90 items of a kind; an event that comes twice has one key."""
+    e = read(spark, d, "events")
+    return e.select(
+        "user_id", F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("request_key"), F.concat("event_type", F.lit("-"), (F.col("event_id") % 90).cast("string")).alias("item_id"),
+        F.col("event_type").alias("point"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.col("props").alias("answer"), F.when(F.col("event_id") % 13 != 0, F.least(F.lit(10.0), F.col("value") / 20)).alias("score"),
+        F.lit(10.0).alias("max_score"), (F.col("event_id") % 11 != 0).cast("double").alias("confidence"), (F.col("event_id") % 7 == 0).alias("review_required"),
+    )
+
+
+def graded_store(spark, d):
+    """All requests in three commits by thirds of the day; the third sends everything again, and a fourth call changes nothing."""
+    store, all_ = Store(spark, f"{shared_dir(spark)}/grading-{uuid.uuid4().hex}", 8), requests(spark, d)
+    hour = F.hour("at")
+    for batch in (all_.where(hour < 8), all_.where(hour < 16), all_, all_):
+        G.submit(store, batch)
+    return store
+
+
+_REQUESTS = """WITH req AS (SELECT user_id, event_type || '-' || (event_id % 90) AS item_id, event_type AS point, ts AS tm, event_id AS seq, hour(ts) // 8 AS batch, value, event_id % 11 <> 0 AND event_id % 7 <> 0 AS counts, event_id % 7 = 0 AS review,
+    round(least(10.0::DOUBLE, value / 20) / 10, 2) AS ratio, least(10.0::DOUBLE, value / 20) AS score FROM events WHERE event_id % 13 <> 0 AND value IS NOT NULL),
+acc AS (SELECT * FROM req QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY batch, tm, seq) = 1),
+acc2 AS (SELECT *, row_number() OVER w AS nth, list(CASE WHEN counts THEN ratio END) OVER w AS upto FROM acc WINDOW w AS (PARTITION BY user_id, point ORDER BY batch, tm, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+states AS (SELECT *, list_filter(upto, lambda x: x IS NOT NULL) AS rs, list_filter(upto[:-2], lambda x: x IS NOT NULL) AS rs0 FROM acc2),
+folded AS (SELECT *, list_reduce(list_prepend(0.5::DOUBLE, rs), lambda a, x: round_even(greatest(0, least(1, 0.7::DOUBLE * a + 0.3::DOUBLE * x)), 4)) AS after_level,
+  list_reduce(list_prepend(0.5::DOUBLE, rs0), lambda a, x: round_even(greatest(0, least(1, 0.7::DOUBLE * a + 0.3::DOUBLE * x)), 4)) AS before_level,
+  list_reduce(list_prepend(0.0::DOUBLE, rs), lambda a, x: CASE WHEN x >= 0.8 THEN a + 1 ELSE 0.0::DOUBLE END)::BIGINT AS after_streak,
+  list_reduce(list_prepend(0.0::DOUBLE, rs0), lambda a, x: CASE WHEN x >= 0.8 THEN a + 1 ELSE 0.0::DOUBLE END)::BIGINT AS before_streak FROM states)"""
+
+
+@query("k14_mastery", f"{_REQUESTS} SELECT user_id, point, arg_max(after_level, nth) AS level, arg_max(after_streak, nth) AS streak, count_if(counts)::BIGINT AS attempts, count_if(counts AND ratio >= 0.8)::BIGINT AS correct FROM folded GROUP BY ALL")
+def transaction_mastery(spark, d):
+    return graded_store(spark, d).read("mastery", G.SCHEMAS["mastery"]).select("user_id", "point", "level", "streak", "attempts", "correct")
+
+
+@query(
+    "k14_log",
+    f"""{_REQUESTS} SELECT user_id, point, nth, e.place::INT AS place, e.reason AS reason, e.before_level AS before_level, after_level, e.before_streak AS before_streak, after_streak FROM (SELECT *, unnest([
+  {{'place': 0, 'reason': CASE WHEN ratio >= 0.8 THEN 'grade_result' ELSE 'wrong_answer' END, 'before_level': before_level, 'before_streak': before_streak}},
+  CASE WHEN counts AND ratio >= 0.8 AND rs0[-1] >= 0.8 THEN {{'place': 1, 'reason': 'difficulty 2→3', 'before_level': after_level, 'before_streak': after_streak}}
+    WHEN counts AND ratio < 0.5 AND rs0[-1] < 0.5 THEN {{'place': 1, 'reason': 'difficulty 2→1', 'before_level': after_level, 'before_streak': after_streak}} END,
+  CASE WHEN counts AND ratio >= 0.8 AND rs0[-1] >= 0.8 THEN {{'place': 2, 'reason': 'status→mastered', 'before_level': after_level, 'before_streak': after_streak}} END]) AS e FROM folded) WHERE e IS NOT NULL""",
+)
+def transaction_log(spark, d):
+    """The log, with each change's number among its user's and point's."""
+    store = graded_store(spark, d)
+    when = store.read("submissions", G.SCHEMAS["submissions"]).select(F.concat(F.lit("g-"), F.substring("submission_id", F.lit(3), F.lit(64))).alias("grade_id"), F.floor(F.hour("at") / 8).alias("batch"), "at", "seq")
+    log = store.read("log", G.SCHEMAS["log"]).join(when, "grade_id")
+    first = O.sequence(log.where("place = 0"), ["user_id", "point"], ["batch", "at", "seq"], "nth", 1).select("grade_id", F.col("nth").cast("long").alias("nth"))
+    return log.join(first, "grade_id").select("user_id", "point", "nth", "place", "reason", "before_level", "after_level", "before_streak", "after_streak")
+
+
+@query("k14_mistakes", f"{_REQUESTS} SELECT user_id, item_id, point, 'pending' AS status, 1::BIGINT AS error_count, score AS last_score FROM acc WHERE ratio < 0.8 OR review")
+def transaction_mistakes(spark, d):
+    return graded_store(spark, d).read("mistakes", G.SCHEMAS["mistakes"]).select("user_id", "item_id", "point", "status", "error_count", "last_score")
