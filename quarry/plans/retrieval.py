@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions import numeric, text
 from quarry.operators import retrieval as R
+from quarry.operators.keyword_index import KeywordIndex
 from quarry.plans import frames
 from quarry.plans.frames import BM25_SQL, CHUNKS_SQL, COSINE_SQL, FUSED_SQL, quoted, sql_tokens
 from quarry.plans.registry import query
-from quarry.sources.tables import read
+from quarry.sources.store import Store
+from quarry.sources.tables import read, shared_dir
 
 
 def score6(c: str = "score"):
@@ -186,3 +190,31 @@ def unique_terms(spark, d):
 @query("f34_cache_key", "SELECT item_id, md5(lower(text) || '|member') AS cache_key FROM benchmark")
 def cache_key(spark, d):
     return read(spark, d, "benchmark").select("item_id", text.cache_key(F.col("text"), F.lit("member")).alias("cache_key"))
+
+
+def changed_index(spark, d):
+    """An index of all chunks that came about by changes: texts of two languages are wrong at first and replaced, others removed and added again."""
+    index, all_ = KeywordIndex(Store(spark, f"{shared_dir(spark)}/keywords-{uuid.uuid4().hex}")), frames.chunks(spark, d)
+    wrong = F.col("lang").isin("fr", "de")
+    index.add(all_.withColumn("content", F.when(wrong, F.concat_ws(" ", F.reverse("content"), F.lit("license license"))).otherwise(F.col("content"))))
+    index.remove(all_.where("lang = 'es'"))
+    index.add(all_.where(wrong | (F.col("lang") == "es")))
+    return index
+
+
+@query("x02_indexed_topk", f"WITH {BM25_SQL} SELECT query_id, rank::INT AS rank, chunk_id, round_even(score, 6) AS score FROM words")
+def indexed_top(spark, d):
+    """The rows of t02_bm25_topk, from an index with replaced and removed chunks."""
+    return changed_index(spark, d).search(frames.queries(spark, d), 20).select("query_id", "rank", "chunk_id", score6())
+
+
+_PUBLIC_SQL = CHUNKS_SQL.replace("LEFT JOIN (SELECT DISTINCT doc_id, toxic FROM labels WHERE toxic = 1) l ON l.doc_id = d.doc_id", "LEFT JOIN (SELECT DISTINCT doc_id, toxic FROM labels WHERE toxic = 1) l ON l.doc_id = d.doc_id WHERE l.toxic IS NULL")
+
+
+@query("s32_incremental_index", f"WITH {BM25_SQL.replace(CHUNKS_SQL, _PUBLIC_SQL)} SELECT query_id, rank::INT AS rank, chunk_id, round_even(score, 6) AS score FROM words")
+def incremental_index(spark, d):
+    """The same after chunks that only staff may see are removed and the segments compacted."""
+    index = changed_index(spark, d)
+    index.remove(frames.chunks(spark, d).where("visibility = 'staff_only'"))
+    index.compact()
+    return index.search(frames.queries(spark, d), 20).select("query_id", "rank", "chunk_id", score6())
