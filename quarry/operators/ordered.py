@@ -36,15 +36,20 @@ def order_statistic(df: DataFrame, column: str, k: int) -> float:
     return rows.orderBy(column).limit(k + 1).agg(F.max(column)).first()[0]
 
 
+def placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows sorted by range, fixed, with ``__part`` and ``__place`` (from 0 in each part)."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    return written(sorted_.withColumns({"__part": F.shiftright("__at", 33).cast("int"), "__place": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at"), "placed")
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``name`` counts rows from 1 in the order of the columns: sorted by range, numbered in each part; only the parts' sizes reach the driver."""
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    fixed = written(sorted_.withColumns({"__part": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at"), "numbered")
+    fixed = placed(df, order)
     total, rows = 0, []
     for r in sorted(fixed.groupBy("__part").agg(F.count("*").alias("n")).collect()):
         rows.append((r["__part"], total))
         total += r["n"]
-    starts = df.sparkSession.createDataFrame(rows, "__part long, __before long")
+    starts = df.sparkSession.createDataFrame(rows, "__part int, __before long")
     return fixed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__place") + 1).drop("__part", "__place", "__before")
 
 
@@ -149,36 +154,107 @@ def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def sequence(df: DataFrame, keys: list[str], order: list[str], name: str = "sequence_no", start: int = 0) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1 + start)
+    """``name`` counts the rows of each key in order, from ``start``. Null keys are one key.
+
+    Rows are sorted by range of key and order and counted within key and part. Of a part's keys only
+    the first can have begun in another part; how many rows it had there is carried over, from one
+    row for each part on the driver. No task needs all rows of a key.
+    """
+    fixed = placed(df, [*keys, *order])
+    runs = fixed.groupBy("__part", *keys).agg(F.count("*").alias("n"), F.min("__place").alias("at"))
+    run = F.struct(F.struct(*keys).alias("key"), "n")
+    ends = runs.groupBy("__part").agg(F.min_by(run, "at").alias("first"), F.max_by(run, "at").alias("last"), F.count("*").alias("runs"))
+    rows, key, held = [], None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["__part"]):
+        before = held if key is not None and r["first"]["key"] == key else 0
+        rows.append((r["__part"], before, r["first"]["n"]))
+        key, held = r["last"]["key"], r["last"]["n"] + (before if r["runs"] == 1 else 0)
+    carried = df.sparkSession.createDataFrame(rows, "__part int, __before long, __first long")
+    own = F.row_number().over(W.partitionBy("__part", *keys).orderBy("__place"))
+    with_ = fixed.withColumn("__own", own).join(F.broadcast(carried), "__part")  # a row for each part
+    number = F.col("__own") + F.when(F.col("__place") < F.col("__first"), F.col("__before")).otherwise(0) - 1 + start
+    return with_.withColumn(name, number.cast("int")).drop("__part", "__place", "__before", "__first", "__own")
 
 
 def in_window(df: DataFrame, keys: list[str], seconds: Column, span: int = 300, name: str = "recent") -> DataFrame:
-    """How many earlier rows of a key lie in the ``span`` seconds before each row."""
-    w = W.partitionBy(*keys).orderBy(seconds).rangeBetween(-(span - 1), -1)
-    return df.withColumn(name, F.count("*").over(w))
+    """How many earlier rows of a key lie in the ``span`` seconds before each row.
+
+    Rows are dealt by key and stretch of ``span`` seconds, each also to the stretch after its own,
+    where it only counts; so a key is spread over its time.
+    """
+    timed = df.withColumn("__s", seconds)
+    dealt = timed.withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__stretch", F.floor(F.col("__s") / span) + F.col("__copy"))
+    dealt = dealt.where((F.col("__copy") == 0) | F.col("__s").isNotNull())
+    w = W.partitionBy(*keys, "__stretch").orderBy("__s").rangeBetween(-(span - 1), -1)
+    return dealt.withColumn(name, F.count("*").over(w)).where("__copy = 0").drop("__s", "__copy", "__stretch")
 
 
 def allowed_attempts(df: DataFrame, keys: list[str], seconds: str, order: list[str], most: int = 5, span: int = 300) -> DataFrame:
     """``accepted`` for each attempt: fewer than ``most`` accepted ones in the ``span`` seconds before.
 
-    Rejected attempts leave no trace, so the last ``most`` accepted times are the whole state of a
-    key; rows arrive sorted, in batches, and no key is held as a whole.
+    Rejected attempts leave no trace, so the last ``most`` accepted times are the whole state of a key.
+    Attempts are sorted by range of key and time. Parts are worked on side by side, each from the state
+    in which the part before ends; where that turns out to be another than was assumed, the part is done
+    again, until all agree. Only a part within one key passes a state on, so a round more is needed
+    for each part of a key's densest stretch at worst, and two or three in all where attempts pause for
+    ``span`` seconds. No task needs all rows of a key; a row for each part reaches the driver. Rows
+    without a time are not accepted and count for nothing.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", accepted boolean"
-    kinds = [df.columns.index(k) for k in keys]
-    at = df.columns.index(seconds)
+    fixed = placed(df.withColumn("__s", F.col(seconds).cast("double")), [*keys, "__s", *order])
+    shape = fixed.select("__part", "__place", "__s", *keys)
+    in_order = lambda rows: rows.repartition("__part").sortWithinPartitions("__part", "__place")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+    def verdicts(batches: Iterator[pa.RecordBatch], begin: dict[int, list[float]]) -> Iterator[tuple]:
+        """For each batch its verdicts; and for each part its number, keys, first time and state at the end."""
+        at, key, held, parts = None, None, [], {}
         for batch in batches:
-            verdicts = []
-            for k, t in zip(zip(*(batch.column(i).to_pylist() for i in kinds)), batch.column(at).to_pylist()):
-                if k != key:
+            made = []
+            for part, t, k in zip(batch.column("__part").to_pylist(), batch.column("__s").to_pylist(), zip(*(batch.column(c).to_pylist() for c in keys))):
+                if part != at:
+                    at, key, held = part, k, list(begin.get(part, []))
+                    parts[part] = {"first": k, "from": t, "several": False}
+                elif k != key:
                     key, held = k, []
-                held = [x for x in held if x > t - span]
-                verdicts.append(len(held) < most)
-                if verdicts[-1]:
-                    held.append(t)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts, pa.bool_())], names=[*batch.schema.names, "accepted"])
+                    parts[part]["several"] = True
+                ok = False
+                if t is not None:
+                    held = [x for x in held if x > t - span]
+                    ok = len(held) < most
+                    if ok:
+                        held.append(t)
+                made.append(ok)
+                parts[part] |= {"last": k, "held": held}
+            yield batch, made, parts
+
+    spark, begin, told, stale = df.sparkSession, {}, {}, None
+    while stale is None or stale:
+        shared = spark.sparkContext.broadcast(begin)
+
+        def ends(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            parts = {}
+            for _, _, parts in verdicts(batches, shared.value):
+                pass
+            for part, r in parts.items():
+                columns = [[part], [repr(r["first"])], [repr(r["last"])], [r["from"]], [r["several"]], [r["held"]]]
+                types = [pa.int32(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "first", "last", "start", "several", "held"])
+
+        asked = shape if stale is None else shape.where(F.col("__part").isin(stale))
+        for r in in_order(asked).mapInArrow(ends, "part int, first string, last string, start double, several boolean, held array<double>").collect():
+            told[r["part"]] = r
+        stale, key, held = [], None, []
+        for part in sorted(told):
+            r = told[part]
+            entry = [x for x in held if r["start"] is None or x > r["start"] - span] if r["first"] == key else []
+            if entry != begin.get(part, []):
+                stale.append(part)
+            begin = begin | {part: entry}
+            key, held = r["last"], r["held"]
+    shared = spark.sparkContext.broadcast(begin)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, made, _ in verdicts(batches, shared.value):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.bool_())], names=[*batch.schema.names, "accepted"])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, seconds, *order).mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fixed.schema) + ", accepted boolean"
+    return in_order(fixed).mapInArrow(run, schema).drop("__part", "__place", "__s")

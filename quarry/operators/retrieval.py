@@ -6,7 +6,7 @@ the top k of each query, and the branches meet in a union and one aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -62,16 +62,16 @@ def corpus_stats(chunks: DataFrame, content: str = "content") -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.avg(F.size(text.words(F.col(content)))).alias("mean_len"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, content: str = "content") -> DataFrame:
-    """query_id, chunk_id, score > 0. A token that a query has twice counts twice.
+def bm25_scores(queries: DataFrame, chunks: DataFrame, content: str = "content", words: Callable[[Column], Column] = text.words) -> DataFrame:
+    """query_id, chunk_id, score > 0. A token that a query has twice counts twice. ``words`` gives a text's tokens, case as it is.
 
     Texts are tokenised once. Tokens of the queries cut the postings before they are shuffled;
     these and one row for each chunk, of its length, are written, and all statistics come from there.
     """
-    asked = written(queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf")), "asked")
+    asked = written(queries.select("query_id", F.explode(words(F.col("query"))).alias("token")).groupBy("query_id", F.lower("token").alias("token")).agg(F.count("*").alias("qtf")), "asked")
     every = F.lit("")  # no token; stands for the chunk as a whole
     wanted = asked.select("token").distinct().unionByName(asked.sparkSession.range(1).select(every.alias("token")))
-    own = chunks.select("chunk_id", text.words(F.col(content)).alias("t")).select("chunk_id", F.size("t").alias("doc_len"), F.explode(F.concat(F.array(every), "t")).alias("token"))
+    own = chunks.select("chunk_id", words(F.col(content)).alias("t")).select("chunk_id", F.size("t").alias("doc_len"), F.explode(F.concat(F.array(every), "t")).alias("token"))
     own = own.select("chunk_id", "doc_len", F.lower("token").alias("token")).join(wanted, "token", "left_semi")
     own = written(own.groupBy("chunk_id", "token").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")), "postings")
     stats = own.where("token = ''").agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean_len"))

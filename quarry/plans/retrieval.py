@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import numeric, text
 from quarry.operators import retrieval as R
+from quarry.operators import segmentation
 from quarry.operators.keyword_index import KeywordIndex
 from quarry.plans import frames
 from quarry.plans.frames import BM25_SQL, CHUNKS_SQL, COSINE_SQL, FUSED_SQL, quoted, sql_tokens
@@ -218,3 +219,39 @@ def incremental_index(spark, d):
     index.remove(frames.chunks(spark, d).where("visibility = 'staff_only'"))
     index.compact()
     return index.search(frames.queries(spark, d), 20).select("query_id", "rank", "chunk_id", score6())
+
+
+#: Letters of the documents' languages, and an ideograph for each, so that their texts without spaces are runs as in Chinese.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëíìîïñóòôöõœúùûüýÿß"
+_IDEOGRAPHS = "".join(chr(0x4E8C + 97 * i) for i in range(len(_LETTERS)))
+
+
+def in_ideographs(df, column, spaced):
+    """The column's texts letter by letter in ideographs, with or without spaces between words."""
+    own = F.translate(F.lower(column), _LETTERS, _IDEOGRAPHS)
+    return df.withColumn(column, own if spaced else F.regexp_replace(own, "(?<=[一-鿿]) (?=[一-鿿])", ""))
+
+
+def fitted_words(spark, chunks):
+    found = in_ideographs(chunks, "content", True).select(F.explode(F.regexp_extract_all("content", F.lit("([一-鿿]+)"), F.lit(1))).alias("word"))
+    return segmentation.word_splitter(segmentation.fit(found), spark)
+
+
+@query("f01_segments")
+def segments(spark, d):
+    """Words found in texts without spaces, against the words that are there; no SQL finds a best path over a dictionary."""
+    chunks = frames.chunks(spark, d)
+    found = in_ideographs(chunks, "content", False).select("chunk_id", fitted_words(spark, chunks)(F.col("content")).alias("t"))
+    there = in_ideographs(chunks, "content", True).select("chunk_id", F.size(text.words(F.col("content"))).alias("n_words"))
+    return there.join(found.select("chunk_id", F.size("t").alias("n_found"), F.md5(F.array_join("t", " ").cast("binary")).alias("found_md5")), "chunk_id")
+
+
+@query("f01_keyword_recall")
+def keyword_recall(spark, d):
+    """Of the 20 best chunks of each query when words are known, how many are found without spaces, with runs as tokens and with segmented runs."""
+    chunks, queries = frames.chunks(spark, d).select("chunk_id", "content"), frames.queries(spark, d).select("query_id", "query")
+    best = lambda spaced, **how: R.top(R.bm25_scores(in_ideographs(queries, "query", spaced), in_ideographs(chunks, "content", spaced), **how), 20).select("query_id", "chunk_id")
+    want = best(True).withColumn("wanted", F.lit(1))
+    runs, words = best(False).withColumn("by_run", F.lit(1)), best(False, words=fitted_words(spark, chunks)).withColumn("by_word", F.lit(1))
+    found = want.join(runs, ["query_id", "chunk_id"], "left").join(words, ["query_id", "chunk_id"], "left")
+    return found.groupBy("query_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in ("wanted", "by_run", "by_word")])

@@ -21,3 +21,12 @@ def spark():
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Small tables stay in as many parts as a shuffle makes."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)

@@ -136,7 +136,7 @@ def test_of_two_writers_one_conflicts(spark, tmp_path):
     assert store.version() == 1 and store.read("requests", G.SCHEMAS["requests"]).count() == 1
 
 
-def test_a_key_over_many_parts(spark):
+def test_a_key_over_many_parts(spark, many_parts):
     n, rng = 5000, random.Random(3)
     data = [(1 if i % 3 else 2, i, rng.choice([0.0, 0.4, 0.8, 0.85, 1.0]), rng.random() < 0.9, False, None, None, None) for i in range(n)]
     data += [(1, -1, None, False, True, 0.9, 3, 0.8), (3, 0, 1.0, True, False, None, None, None)]
