@@ -280,7 +280,7 @@ def removed_spans(documents: DataFrame, kind: Kind, method: Callable[[DataFrame,
     masks = masks.select("seed", "context", *[F.col(c) if c in masks.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
     whole = hits.where("n > 1").select("doc_id", "tk", "first", "runs", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
     part = hits.where("n = 1").join(masks, ["seed", "context"]).select("doc_id", "tk", "first", "runs", *none)
-    spans = whole.unionByName(part).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("first", "runs", *none)).alias("spans"))
+    spans = whole.unionByName(part).groupBy("doc_id", "tk").agg(F.collect_set(F.struct("first", "runs", *none)).alias("spans"))  # equal rows have equal spans
     return docs.join(spans.withColumnsRenamed({"doc_id": "s_id", "tk": "s_tk"}), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("tk") == F.col("s_tk")), "left").drop("s_id", "s_tk")
 
 
