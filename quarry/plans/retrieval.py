@@ -10,6 +10,7 @@ from quarry.functions import numeric, text
 from quarry.operators import retrieval as R
 from quarry.operators import segmentation
 from quarry.operators.keyword_index import KeywordIndex
+from quarry.operators.vector_index import VectorIndex
 from quarry.plans import frames
 from quarry.plans.frames import BM25_SQL, CHUNKS_SQL, COSINE_SQL, FUSED_SQL, quoted, sql_tokens
 from quarry.plans.registry import query
@@ -255,3 +256,30 @@ def keyword_recall(spark, d):
     runs, words = best(False).withColumn("by_run", F.lit(1)), best(False, words=fitted_words(spark, chunks)).withColumn("by_word", F.lit(1))
     found = want.join(runs, ["query_id", "chunk_id"], "left").join(words, ["query_id", "chunk_id"], "left")
     return found.groupBy("query_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in ("wanted", "by_run", "by_word")])
+
+
+def changed_vectors(spark, d):
+    """An index of all vectors of chunks that came about by changes: some vectors are wrong at first and replaced, others removed and added again."""
+    index, all_ = VectorIndex(Store(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")), frames.vectors(spark, d)
+    wrong, late = F.pmod("chunk_id", F.lit(3)) == 1, F.pmod("chunk_id", F.lit(5)) == 2
+    index.add(all_.withColumn("embedding", F.when(wrong, F.reverse("embedding")).otherwise(F.col("embedding"))))
+    index.remove(all_.where(late))
+    index.add(all_.where(wrong | late))
+    index.compact()
+    return index
+
+
+@query("x01_exact_topk", f"WITH {COSINE_SQL} SELECT query_id, rank::INT AS rank, chunk_id, round_even(score, 6) AS score FROM near")
+def exact_top(spark, d):
+    """The rows of t01_cosine_topk, from an index with replaced and removed vectors."""
+    return changed_vectors(spark, d).search(frames.queries(spark, d), 20, probes=None).select("query_id", "rank", "chunk_id", score6())
+
+
+@query("x01_recall")
+def recall(spark, d):
+    """Of the 20 nearest of each query, how many a search of the nearest cells finds; held against its exact mode, so without SQL."""
+    index, queries = changed_vectors(spark, d), frames.queries(spark, d)
+    want = index.search(queries, 20, probes=None).select("query_id", "chunk_id", F.lit(1).alias("wanted"))
+    near = index.search(queries, 20).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    found = want.join(near, ["query_id", "chunk_id"], "left")
+    return found.groupBy("query_id").agg(F.sum("wanted").alias("n_wanted"), F.coalesce(F.sum("found"), F.lit(0)).alias("n_found"))

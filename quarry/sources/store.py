@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,10 @@ class Store:
         if not entry:
             return self.spark.createDataFrame([], schema)
         folders = entry["folders"] if isinstance(entry["folders"], list) else [f"{f}/bucket={b}" for b, f in entry["folders"].items()]
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{f}" for f in folders])
+        paths, reader = [f"{self.path}/data/{f}" for f in folders], self.spark.read.schema(schema)
+        if entry.get("by"):  # each folder has folders of values of its own
+            return reduce(DataFrame.unionByName, [reader.parquet(p) for p in paths])
+        return reader.parquet(*paths)
 
     def begin(self) -> Commit:
         return Commit(self)
@@ -73,14 +77,15 @@ class Commit:
     def read(self, table: str, schema: str | StructType) -> DataFrame:
         return self.store.read(table, schema, self.state)
 
-    def append(self, table: str, rows: DataFrame) -> None:
+    def append(self, table: str, rows: DataFrame, by: str | None = None) -> None:
+        """Adds rows, in folders ``by`` a column if one is given; readers that ask for some of its values skip the others."""
         folder = f"{table}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.store.path}/data/{folder}")
-        self.tables.setdefault(table, {"folders": []})["folders"].append(folder)
+        (rows.write.partitionBy(by) if by else rows.write).parquet(f"{self.store.path}/data/{folder}")
+        self.tables.setdefault(table, {"folders": [], "by": by})["folders"].append(folder)
 
     def replace(self, table: str, rows: DataFrame) -> None:
         """The table's whole new content."""
-        self.tables[table] = {"folders": []}
+        self.tables.pop(table, None)
         self.append(table, rows)
 
     def bucket(self, *keys: str):
