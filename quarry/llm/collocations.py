@@ -115,7 +115,7 @@ def extended(phrases: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np
     return key[first] // max(1, len(word_sizes)), key[first] % max(1, len(word_sizes)), np.diff(np.r_[first, len(key)]), at[fits][order]
 
 
-STATE = "block long, words array<long>, word_sizes array<int>, word_at binary, prefix array<long>, suffix array<long>, sizes array<int>, at binary"
+STATE = "block long, words array<long>, word_sizes array<int>, word_at binary, keys array<long>, sizes array<int>, at binary"
 
 
 class Told:
@@ -149,52 +149,87 @@ class Told:
         return np.where((self.heads[head] == prefix) & (self.tails[tail] == suffix) & (self.key[at] == key), self.gid[at], -1)
 
 
-def step(state: DataFrame, level: DataFrame, one: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The next state of each block: its frequent phrases of ``k`` words, extended by a word each, and the word lists that may still be needed.
+class Row:
+    """One block of a batch, its columns as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.row = {n: batch.column(n)[i] for n in batch.schema.names}
+
+    def numbers(self, name: str) -> np.ndarray:
+        return self.row[name].values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def places(self, name: str) -> np.ndarray:
+        return np.frombuffer(self.row[name].as_py(), np.int32)
+
+    def longer(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The lists of phrases of k words, extended by a word each: the ids of phrase and word, lengths and places."""
+        keys, lists = self.numbers("keys"), (self.numbers("sizes"), self.places("at"))
+        ids, words = (keys, lists) if k == 1 else (self.numbers("words"), (self.numbers("word_sizes"), self.places("word_at")))
+        prefix, word, sizes, at = extended(lists, words, k)
+        return keys[prefix], ids[word], sizes, at
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
+    for batch in batches:
+        yield from (Row(batch, i) for i in range(batch.num_rows))
+
+
+def candidates(state: DataFrame, k: int, placed: bool = False) -> DataFrame:
+    """prefix, suffix and m of each block's phrases of k + 1 words, frequent or not; also the block and the phrase's number in it, if ``placed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            prefix, suffix, sizes, _ = row.longer(k)
+            own = {"block": np.full(len(sizes), row.row["block"].as_py(), np.int64), "local": np.arange(len(sizes), dtype=np.int32)} if placed else {}
+            yield pa.RecordBatch.from_pydict({"prefix": prefix, "suffix": suffix, "m": sizes.astype(np.int64), **own})
+
+    return state.mapInArrow(run, "prefix long, suffix long, m long" + (", block long, local int" if placed else ""))
+
+
+def step(state: DataFrame, level: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The lists of each block's frequent phrases of ``k`` words, and the word lists that longer ones may need.
 
     Up to ``FEW`` frequent phrases go to all tasks; of more, each block gets its own by joins.
     """
-    lists = ["block", "sizes", "at", *([] if k == 1 else ["words", "word_sizes", "word_at"])]
     told = None
+    columns = ["block", "keys", "sizes", "at", *(["lang"] if k == 1 else ["words", "word_sizes", "word_at"])]
     if level.count() <= FEW:
         told = state.sparkSession.sparkContext.broadcast(Told(level.select("gid", *keys), k))
-        rows = state.select(*lists, *(["lang", "keys"] if k == 1 else keys))
+        rows = state.select(*columns)
     else:
+        one = state.select("block", "lang", F.posexplode("keys").alias("local", "phrase")) if k == 1 else candidates(state, k - 1, True)
         mine = one.join(level.select("gid", *keys), keys).groupBy("block").agg(F.collect_list(F.struct("local", "gid")).alias("f"))
-        rows = state.join(mine.select("block", F.col("f.local").alias("local"), F.col("f.gid").alias("gid")), "block").select(*lists, "local", "gid")
+        rows = state.join(mine.select("block", F.col("f.local").alias("local"), F.col("f.gid").alias("gid")), "block").select(*columns, "local", "gid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
-                numbers = lambda n, kind=np.int64: row[n].values.to_numpy(zero_copy_only=False).astype(kind)
-                places = lambda n: np.frombuffer(row[n].as_py(), np.int32)
-                if told is None:
-                    keep, ids = numbers("local"), numbers("gid")
-                    order = np.argsort(keep)
-                    keep, ids = keep[order], ids[order]
-                else:
-                    ids = told.value.of_words(row["lang"].as_py(), row["keys"].as_py()) if k == 1 else told.value.of_pairs(numbers("prefix"), numbers("suffix"))
-                    keep = np.flatnonzero(ids >= 0)
-                    ids = ids[keep]
-                lists = kept_lists(numbers("sizes"), places("at"), keep)
-                words, word_ids = (lists, ids) if k == 1 else ((numbers("word_sizes"), places("word_at")), numbers("words"))
-                prefix, word, sizes, at = extended(lists, words, k)
-                if not len(sizes):
-                    continue
-                needed = np.zeros(int(at.max()) + k + 3, bool)  # places right after the longer phrases
-                needed[at + k + 1] = True
-                near = needed[np.minimum(words[1], len(needed) - 1)] & (words[1] < len(needed))
-                left = np.bincount(_places(words[0])[near], minlength=len(words[0]))
+        for row in rows_of(batches):
+            if k == 1:
+                sizes, at = row.numbers("sizes"), row.places("at")
+            else:
+                prefix, suffix, sizes, at = row.longer(k - 1)
+            if told is None:
+                keep, ids = row.numbers("local"), row.numbers("gid")
+                order = np.argsort(keep)
+                keep, ids = keep[order], ids[order]
+            else:
+                ids = told.value.of_words(row.row["lang"].as_py(), row.row["keys"].as_py()) if k == 1 else told.value.of_pairs(prefix, suffix)
+                keep = np.flatnonzero(ids >= 0)
+                ids = ids[keep]
+            if not len(keep):
+                continue
+            sizes, at = kept_lists(sizes, at, keep)
+            words = (np.zeros(0, np.int64),) * 3
+            if k > 1:
+                words = (row.numbers("words"), row.numbers("word_sizes"), row.places("word_at")) if k > 2 else (row.numbers("keys"), row.numbers("sizes"), row.places("at"))
+                needed = np.zeros(int(at.max()) + k + 1, bool)  # places right after a phrase
+                needed[at + k] = True
+                near = needed[np.minimum(words[2], len(needed) - 1)] & (words[2] < len(needed))
+                left = np.bincount(_places(words[1])[near], minlength=len(words[0]))
                 some = np.flatnonzero(left)
-                listed = lambda x, kind: pa.array([x], pa.list_(kind))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["block"].as_py()]), listed(word_ids[some], pa.int64()), listed(left[some].astype(np.int32), pa.int32()), pa.array([words[1][near].tobytes()], pa.binary()),
-                        listed(ids[prefix], pa.int64()), listed(word_ids[word], pa.int64()), listed(sizes.astype(np.int32), pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()),
-                    ],
-                    names=["block", "words", "word_sizes", "word_at", "prefix", "suffix", "sizes", "at"],
-                )
+                words = (words[0][some], left[some], words[2][near])
+            listed = lambda x, kind: pa.array([x], pa.list_(kind))
+            lists = [[listed(i, pa.int64()), listed(n.astype(np.int32), pa.int32()), pa.array([p.astype(np.int32).tobytes()], pa.binary())] for i, n, p in (words, (ids, sizes, at))]
+            yield pa.RecordBatch.from_arrays([pa.array([row.row["block"].as_py()]), *lists[0], *lists[1]], names=["block", "words", "word_sizes", "word_at", "keys", "sizes", "at"])
 
     return rows.mapInArrow(run, STATE)
 
@@ -224,12 +259,11 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
         every = named if every is None else every.unionByName(named)
         if k == longest:
             break
-        after = stash(step(state, level, one, keys, k), "phrase-lists", compression="zstd")
-        unstash(state)
         del counted, one  # nothing else holds their shuffles
+        after = stash(step(state, level, keys, k), "phrase-lists", compression="zstd")
+        unstash(state)
         state, keys = after, ["prefix", "suffix"]
-        one = state.select("block", F.posexplode(F.arrays_zip("prefix", "suffix", "sizes")).alias("local", "x"))
-        one = one.select("block", "local", F.col("x.prefix").alias("prefix"), F.col("x.suffix").alias("suffix"), F.col("x.sizes").alias("m"))
+        one = candidates(state, k)
     return every.select("lang", "phrase", "size", "a"), totals
 
 
