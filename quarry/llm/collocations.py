@@ -234,6 +234,18 @@ def step(state: DataFrame, level: DataFrame, keys: list[str], k: int) -> DataFra
     return rows.mapInArrow(run, STATE)
 
 
+def dense(level: DataFrame) -> DataFrame:
+    """A written table with ids that count from 0; small numbers take little room in shuffles. One number for each part of the table reaches the driver."""
+    part = F.shiftright("gid", 33)
+    before, rows = 0, []
+    for r in sorted(level.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
+        rows.append((r["p"], before))
+        before += r["n"]
+    starts = level.sparkSession.createDataFrame(rows, "p long, before long")
+    numbered = level.withColumn("p", part).join(F.broadcast(starts), "p")
+    return numbered.withColumn("gid", F.col("before") + F.col("gid").bitwiseAND(F.lit((1 << 33) - 1))).drop("p", "before")
+
+
 def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """lang, phrase (words joined by a space), size (in words), a (its frequency), for each phrase of up to ``longest`` words that occurs ``least`` times or more; and lang, n (all its word occurrences).
 
@@ -249,12 +261,12 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
         counted = one.groupBy(*keys).agg(F.sum("m").alias("a")).where(F.col("a") >= least)
         level = counted.select(F.monotonically_increasing_id().alias("gid"), "*")
         if k > 1:
-            level = stash(level, "phrase-level")  # ids are fixed before they are used
+            level = dense(stash(level, "phrase-level"))  # ids are fixed before they are used
             before = every.where(F.col("size") == k - 1).select(F.col("gid").alias("prefix"), "lang", F.col("phrase").alias("head"))
             named = level.join(before, "prefix").join(words, "suffix")
             named = named.select("gid", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), F.lit(k).alias("size"), "a")
         else:
-            level = named = stash(level.select("gid", "lang", "phrase", F.lit(1).alias("size"), "a"), "phrase-level")
+            level = named = dense(stash(level.select("gid", "lang", "phrase", F.lit(1).alias("size"), "a"), "phrase-level"))
             words = level.select(F.col("gid").alias("suffix"), F.col("phrase").alias("tail"))
         every = named if every is None else every.unionByName(named)
         if k == longest:
