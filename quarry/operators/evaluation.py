@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.ordered import order_statistic
+from quarry.operators.ordered import order_statistic, order_statistics
 
 JUDGED = ("answer", "citation", "grading")
 #: Metric names in reports and the annotated dimension behind each.
@@ -168,6 +168,15 @@ def latency(results: DataFrame, column: str = "latency_ms") -> DataFrame:
     return x.sparkSession.createDataFrame([(n, p50, at(max(0, -(-95 * n // 100) - 1)), at(min(95 * n // 100, n - 1)), most)], schema)
 
 
+def latency_by(results: DataFrame, keys: list[str], column: str = "latency_ms") -> DataFrame:
+    """keys, n, p50 (median), p95 by nearest rank, p95_floor (the value at index int(0.95 n)), and the largest, for each key at once."""
+    places = {
+        "low": (0.5, "(n - 1) div 2"), "high": (0.5, "n div 2"), "p95": (0.95, "greatest(0, (95 * n + 99) div 100 - 1)"), "p95_floor": (0.95, "least(95 * n div 100, n - 1)"), "most": (1.0, "n - 1"),
+    }
+    found = order_statistics(results, keys, column, places)
+    return found.select(*keys, "n", ((F.col("low") + F.col("high")) / 2).alias("p50"), "p95", "p95_floor", "most")
+
+
 def case_format(case_id: Column, query: Column) -> tuple[Column, Column, Column]:
     """Whether an id is db- with three digits, a query has 4 to 300 characters, and it holds a local absolute path."""
     return case_id.rlike(r"^db-\d{3}$"), F.length(query).between(4, 300), query.rlike(r"[A-Za-z]:[\\/]")

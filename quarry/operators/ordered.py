@@ -258,3 +258,48 @@ def allowed_attempts(df: DataFrame, keys: list[str], seconds: str, order: list[s
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fixed.schema) + ", accepted boolean"
     return in_order(fixed).mapInArrow(run, schema).drop("__part", "__place", "__s")
+
+
+#: Rows up to which a group is sorted whole, and how exact the quantiles are that bracket a place in larger ones.
+FEW, CLOSE = 1000, 0.001
+
+
+def order_statistics(df: DataFrame, keys: list[str], column: str, places: dict[str, tuple[float, str]]) -> DataFrame:
+    """keys, n, and for each name the value at its place in its key's order, exactly and for all keys at once.
+
+    A place is a fraction and SQL of the place (from 0) for ``n`` rows, such as ``(0.5, "n div 2")``. Null
+    values don't count; a key without any value has no row, an empty table none. Null keys are one key.
+    Approximate quantiles bracket each place, counts tell what lies below and on the brackets, and only values strictly
+    between them are sorted, by range over all keys: no task needs all rows of a key, and values
+    equal to a bracket, however many, are not moved. A bracket that misses its place takes the whole key.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("__v"))
+    around = [p for near, _ in places.values() for p in (max(0.0, near - CLOSE), min(1.0, near + CLOSE))]
+    of_key = written(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("__v", around, int(4 / CLOSE)).alias("__q")), "quantiles")
+    bracket = lambda i: F.when(F.col("n") > FEW, F.col("__q")[i])
+    wanted = [F.struct(F.lit(name).alias("__name"), F.expr(at).cast("long").alias("__k"), bracket(2 * i).alias("__lo"), bracket(2 * i + 1).alias("__hi")) for i, (name, (_, at)) in enumerate(places.items())]
+    asked = of_key.select(*keys, F.explode(F.array(*wanted)).alias("__w")).select(*keys, "__w.*")
+
+    same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+
+    def with_rows(targets: DataFrame) -> DataFrame:
+        own = targets.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], "__name", "__k", "__lo", "__hi", *[c for c in targets.columns if c == "__below"])
+        return rows.join(own, same).drop(*[f"__key{i}" for i in range(len(keys))])
+
+    v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
+    one = ["__name", "__k", "__lo", "__hi"]
+    large = with_rows(asked.where("__lo is not null")).groupBy(*keys, *one).agg(F.count_if(v < lo).alias("below"), F.count_if(v == lo).alias("at_lo"), F.count_if((v > lo) & (v < hi)).alias("within"), F.count_if((v == hi) & (v > lo)).alias("at_hi"))
+    large = written(large, "brackets")
+    found = large.select(
+        *keys, *one, F.expr("below + at_lo").alias("__below"),
+        F.expr("case when __k < below or __k >= below + at_lo + within + at_hi then 'missed' when __k < below + at_lo then 'lo' when __k >= below + at_lo + within then 'hi' else 'within' end").alias("where"),
+    )
+    ready = found.where("where in ('lo', 'hi')").select(*keys, "__name", F.when(F.col("where") == "lo", lo).otherwise(hi).alias("__v"))
+    missed = found.where("where = 'missed'").select(*keys, "__name", "__k", F.lit(None).cast("double").alias("__lo"), F.lit(None).cast("double").alias("__hi"), F.lit(0).cast("long").alias("__below"))
+    whole = asked.where("__lo is null").withColumn("__below", F.lit(0).cast("long")).unionByName(missed)
+    inside = with_rows(found.where("where = 'within'").drop("where").unionByName(whole)).where(lo.isNull() | ((v > lo) & (v < hi)))
+    sorted_ = sequence(inside, [*keys, "__name"], ["__v"], "__at").where("__at = __k - __below").select(*keys, "__name", "__v")
+    values = sorted_.unionByName(ready)
+    got = values.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == name, v)).alias(name) for name in places])
+    names = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
+    return of_key.select(*names, "n").join(got, same).select(*keys, "n", *places)

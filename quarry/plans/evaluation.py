@@ -143,3 +143,17 @@ def assignment_gaps(spark, d):
     who = F.when(F.col("role") == "user", "B").when(F.col("role") == "assistant", "E").otherwise("C")
     got = read(spark, d, "conversations").select(F.col("conv_id").alias("case_id"), who.alias("annotator_id"))
     return reports.assignment_gaps(_assignments(spark, d), got, ["case_id", "annotator_id"])
+
+
+def _percentiles_sql(key: str) -> str:
+    return f"SELECT {key}, count(*)::BIGINT AS n, (v[(n0 - 1) // 2 + 1] + v[n0 // 2 + 1]) / 2 AS p50, v[greatest(1, (95 * n0 + 99) // 100)] AS p95, v[least(95 * n0 // 100, n0 - 1) + 1] AS p95_floor, v[n0] AS most FROM (SELECT {key}, list(value ORDER BY value) AS v, count(*) AS n0, unnest(list(value)) AS each FROM events WHERE value IS NOT NULL GROUP BY {key}) GROUP BY {key}, v, n0"
+
+
+@query("a10_percentiles_by_type", _percentiles_sql("event_type"))
+def percentiles_by_type(spark, d):
+    return V.latency_by(read(spark, d, "events"), ["event_type"], "value")
+
+
+@query("a10_percentiles_by_user", _percentiles_sql("user_id"))
+def percentiles_by_user(spark, d):
+    return V.latency_by(read(spark, d, "events"), ["user_id"], "value")
