@@ -14,8 +14,6 @@ from quarry.llm.common import PLAIN, joined_bytes, load, on_text_batches, plain_
 from quarry.llm.rolling import Stretches, word_values
 
 LEAST = 0.8
-#: So many bigrams of no template in a row end a dense stretch.
-GAP = 8
 
 MATCHES = "array<struct<license:string,dice:double,unit:string,start_line:int,end_line:int>>"
 
@@ -70,14 +68,24 @@ class Templates:
         rows = sorted(((sum(b.values()), name, b) for name, b in ((n, bigrams(plain_words(t))) for n, t in texts) if b), key=lambda r: (r[0], r[1]))
         self.sizes = np.array([r[0] for r in rows], np.int64)
         self.names, self.bags = [r[1] for r in rows], [r[2] for r in rows]
-        pairs = sorted({p for b in self.bags for p in b})
+        pairs = sorted({p for b in self.bags for p in b if p[1]})
         data = b" ".join(x for p in pairs for x in p)
         values = word_values(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0] if pairs else np.zeros(0, np.uint64)
-        self.hashes = np.unique(Stretches(values).all_of(2)[::2]) if len(values) > 1 else np.zeros(0, np.uint64)
+        self.hashes, at = np.unique(Stretches(values).all_of(2)[::2], return_inverse=True) if pairs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.filter = np.zeros(1 << 18, bool)
         self.filter[(self.hashes >> np.uint64(46)).astype(np.int64)] = True
+        #: How often each template has each bigram; the last column is for bigrams of none.
+        number = dict(zip(pairs, at.tolist()))
+        self.counts = np.zeros((len(rows), len(self.hashes) + 1), np.int32)
+        for i, bag in enumerate(self.bags):
+            for pair, n in bag.items():
+                if pair[1]:
+                    self.counts[i, number[pair]] = n
         #: A bag with this share of a template's size, or its inverse, is the smallest or largest that can reach ``least``.
         self.ratio = least / (2 - least)
+        #: So many bigrams at least a window must share with each template, and so many at most it has.
+        self.need = np.ceil(self.sizes * self.ratio - 1e-9).astype(np.int64)
+        self.widest = np.floor(self.sizes / self.ratio + 1e-9).astype(np.int64)
 
     def known(self, pairs: np.ndarray) -> np.ndarray:
         out = self.filter[(pairs >> np.uint64(46)).astype(np.int64)]
@@ -85,6 +93,11 @@ class Templates:
         out[some] = np.isin(pairs[some], self.hashes)
         return out
 
+    def numbers(self, pairs: np.ndarray) -> np.ndarray:
+        """The column of ``counts`` of each bigram."""
+        at = np.minimum(np.searchsorted(self.hashes, pairs), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == pairs, at, len(self.hashes))
+
     def best(self, words: list[bytes]) -> tuple[str, float] | None:
         """The template of the largest coefficient (ties: the smaller, then by name), among those of possible size."""
         bag = bigrams(words)
@@ -108,20 +121,68 @@ def units(at_line: np.ndarray, line_words: np.ndarray) -> list[tuple[str, int, i
     return out
 
 
-def stretches(known: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
-    """Word stretches of a text where bigrams of templates are dense: runs of known ones with fewer than GAP others in a row between. ``known`` counts them up to each word."""
-    at = np.flatnonzero(np.diff(known[lo:hi]) > 0) + lo
-    if len(at) < 2:
+def best_windows(ids: np.ndarray, templates: Templates, t: int) -> list[tuple[float, int, int, int]]:
+    """Windows of the bigrams ``ids`` that reach the threshold for template t, as (-margin, t, first bigram, last bigram).
+
+    A window's margin is twice what it shares with the template less ``least`` times both sizes: 0 or more
+    is a coefficient of ``least`` or more. Each start gives the window of the largest margin (ties: the
+    shortest), unless one more bigram in front raises the margin.
+    """
+    count = templates.counts[t][ids]
+    member = count > 0
+    n, widest, size = len(ids), int(templates.widest[t]), int(templates.sizes[t])
+    upto = np.r_[0, np.cumsum(member)]
+    starts = np.flatnonzero(member & (upto[np.minimum(np.arange(n) + widest, n)] - upto[:n] >= templates.need[t]))
+    if not len(starts):
         return []
-    breaks = np.flatnonzero(np.diff(at) > GAP)
-    return [(int(a), int(b) + 2) for a, b in zip(at[np.r_[0, breaks + 1]], at[np.r_[breaks, len(at) - 1]]) if b > a]
+    # a bigram counts in a window if its count-th equal one before lies outside; with it in front, if that behind does
+    order = np.argsort(ids, kind="stable")
+    ranked, place = ids[order], np.arange(n)
+    low, high = np.searchsorted(ranked, ranked), np.searchsorted(ranked, ranked, side="right")
+    back, ahead = place - count[order], place + count[order]
+    earlier, later = np.empty(n, np.int64), np.empty(n, np.int64)
+    earlier[order] = np.where(back >= low, order[np.maximum(back, 0)], -1)
+    later[order] = np.where(ahead < high, order[np.minimum(ahead, n - 1)], n + widest)
+    front = starts - 1
+    starts = starts[~((front >= 0) & member[front] & (later[front] >= starts + widest))]
+    out = []
+    for i in starts.tolist():
+        share = np.cumsum(member[i : i + widest] & (earlier[i : i + widest] < i))
+        margin = 2 * share - templates.least * (size + np.arange(1, len(share) + 1))
+        j = int(margin.argmax())
+        if margin[j] >= -1e-9 and not (i and member[i - 1] and later[i - 1] > i + j):
+            out.append((-round(float(margin[j]), 6), t, i, i + j))
+    return out
+
+
+def windows(ids: np.ndarray, templates: Templates, possible: list[int]) -> list[tuple[int, int, int]]:
+    """Disjoint stretches of a text's words that match templates, as (template, first word, word after the last).
+
+    Windows are taken by margin (ties: the smaller template, the earlier start) where no word is taken
+    yet; what lies between them is searched again until nothing is found.
+    """
+    found, parts = [], [(0, len(ids))]
+    while parts:
+        part, rest = parts.pop(), []
+        a, b = part
+        taken = np.zeros(b - a + 1, bool)
+        for _, t, i, j in sorted(c for t in possible for c in best_windows(ids[a:b], templates, t)):
+            if not taken[i : j + 2].any():
+                taken[i : j + 2] = True
+                rest.append((i, j))
+                found.append((t, a + i, a + j + 2))
+        if rest:
+            rest.sort()
+            gaps = zip([a, *(a + j + 2 for _, j in rest)], [*(a + i - 1 for i, _ in rest), b])
+            parts += [(lo, hi) for lo, hi in gaps if hi > lo]
+    return sorted(found, key=lambda f: f[1:])
 
 
 def scan(texts: pa.Array, templates: Templates) -> list[list[dict]]:
-    """Matches of each text: units, and dense stretches within or over them that no matching unit has. Only those that could reach the threshold are compared word by word.
+    """Matches of each text: units, and windows of its words that no matching unit stands for. Only those that could reach the threshold are compared word by word.
 
-    A unit shares with a template at most its bigrams that are in any template, so it can
-    reach the threshold only if these are ``ratio`` of its bigrams or more.
+    A unit or window shares with a template at most its bigrams that are in any template, so it can
+    reach the threshold only if these are enough.
     """
     data, offsets = joined_bytes(texts)
     plain = PLAIN[data]
@@ -131,6 +192,13 @@ def scan(texts: pa.Array, templates: Templates) -> list[list[dict]]:
     if n > 1:
         np.cumsum(np.append(templates.known(Stretches(values).all_of(2)), False), out=known[1:])
     breaks = np.flatnonzero(data == 10)
+    pairs_all = Stretches(values).all_of(2) if n > 1 else np.zeros(0, np.uint64)
+    possible = [[] for _ in range(len(texts))]
+    for t, (need, widest) in enumerate(zip(templates.need, templates.widest)):
+        # a window that starts with each word has enough bigrams of any template
+        some = np.flatnonzero(known[np.minimum(np.arange(n) + widest, n)] - known[:n] >= need) if len(templates.hashes) else []
+        for d in np.unique(np.searchsorted(at, some, side="right") - 1):
+            possible[d].append(t)
     out = []
     for d in range(len(texts)):
         lines = np.r_[offsets[d], breaks[np.searchsorted(breaks, offsets[d]) : np.searchsorted(breaks, offsets[d + 1])] + 1, offsets[d + 1]]
@@ -144,26 +212,31 @@ def scan(texts: pa.Array, templates: Templates) -> list[list[dict]]:
                 best = templates.best(words)
                 if best:
                     found.append({"license": best[0], "dice": round(best[1], 6), "unit": kind, "start_line": a, "end_line": b})
-                    having.append((lo, hi))
-        for lo, hi in stretches(known, int(at[d]), int(at[d + 1])):
-            pairs = hi - lo - 1
-            if any(a <= lo and hi <= b or lo <= a and b <= hi and 2 * (b - a) > hi - lo for a, b in having) or known[hi - 1] - known[lo] < templates.ratio * pairs - 1e-9:
+                    having.append((lo, hi, best[0]))
+        first_word = int(at[d])
+        for t, lo, hi in windows(templates.numbers(pairs_all[first_word : at[d + 1] - 1]), templates, possible[d]) if possible[d] else []:
+            lo, hi, name = lo + first_word, hi + first_word, templates.names[t]
+            overlap = [(min(b, hi) - max(a, lo), b - a, of) for a, b, of in having]
+            if any(2 * both > hi - lo and (of == name or 2 * both > size) for both, size, of in overlap):
                 continue
-            best = templates.best(plain[starts[lo] : ends[hi - 1]].tobytes().split())
-            if best:
+            value = dice(bigrams(plain[starts[lo] : ends[hi - 1]].tobytes().split()), templates.bags[t])
+            if value >= templates.least:
                 a, b = (int(np.searchsorted(lines, starts[w], side="right")) - 1 for w in (lo, hi - 1))
-                found.append({"license": best[0], "dice": round(best[1], 6), "unit": "stretch", "start_line": a, "end_line": b})
+                found.append({"license": name, "dice": round(value, 6), "unit": "stretch", "start_line": a, "end_line": b})
         out.append(found)
     return out
 
 
 def licenses(documents: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST, result: str = "licenses") -> DataFrame:
-    """``documents`` with an array column ``result``: the lines, paragraphs, whole texts and dense stretches that match a licence template.
+    """``documents`` with an array column ``result``: the lines, paragraphs, whole texts and stretches of words that match a licence template.
 
     Texts are cut into words without case and punctuation; a unit matches the template of
     the largest Dice coefficient over bags of word bigrams, if it is ``least`` or more. Only
     templates of a size that can reach it are compared. A notice of several paragraphs, or
-    within a line of other words, is found as a stretch, where bigrams of templates are dense. Null and empty texts match nothing.
+    within a line of other words, or next to another licence, is found as a stretch: of all windows
+    of a text's words, disjoint ones are taken by how far they pass the threshold. A stretch is left out
+    if a matching unit of the same licence has over half of its words, or any unit that is over half in it.
+    Null and empty texts and an empty table match nothing; a very long text is one row's work, whole.
     Rows are scanned one by one, so repeated rows and null ids need no rule. A column already
     named ``result`` is replaced. Templates are a parameter that goes to all tasks; without it
     they are the notices and grants above and the full texts.
