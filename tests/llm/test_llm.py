@@ -388,9 +388,30 @@ def test_raking_meets_all_marginals(spark):
         got = {r[d]: r["w"] for r in found.groupBy(d).agg(F.sum("w").alias("w")).collect()}
         assert all(abs(got[k] - v) < 1e-5 for k, v in t.items())
     assert abs(found.agg(F.sum(F.col("p") * F.col("tokens"))).first()[0] - 60) < 1e-6 and found.agg(F.max("p")).first()[0] <= 1
+    assert found.agg(F.max("deviation")).first()[0] < 1e-5
     assert mixing.calibrate(found, 1e6).where("p < 1").count() == 0
 
 
+def test_raking_says_what_it_cannot_meet(spark):
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 30)], "source string, lang string, tokens long")
+    wanted = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.3, "y": 0.7}}
+    found = mixing.rake(cells, {d: mixing.marginal(cells, d, t) for d, t in wanted.items()}).collect()
+    assert {round(r["deviation"], 6) for r in found} == {0.2} and {r["source"]: round(r["w"], 6) for r in found} == {"a": 0.3, "b": 0.7}
+    slow = spark.createDataFrame([("a", "x", 1), ("b", "x", 1), ("b", "y", 1), ("c", "y", 1000), ("c", "x", 1)], cells.schema)
+    wanted = {"source": {"a": 0.4, "b": 0.3, "c": 0.3}, "lang": {"x": 0.7, "y": 0.3}}  # slow, but it can be met
+    found = mixing.rake(slow, {d: mixing.marginal(slow, d, t) for d, t in wanted.items()}).collect()
+    for d, t in wanted.items():
+        assert all(abs(sum(r["w"] for r in found if r[d] == k) - v) < 1e-5 for k, v in t.items())
+
+
+def test_topics_do_not_depend_on_partitions(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"wording{rng.randrange(60)}" for _ in range(20)) if i % 3 else "the same long wording everywhere") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (mixing.fit_topics(df.repartition(k), 40) for k in (2, 9))
+    assert np.array_equal(one[0], two[0]) and np.array_equal(one[1], two[1]) and len(one[0]) == mixing.TOPICS
+
+
 @pytest.mark.parametrize("name", ["op2", "op4", "op5", "op6", "op7", "op1", "op3", "op8", "op10", "op9"])
 def test_empty_tables(spark, name, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
