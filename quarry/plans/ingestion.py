@@ -22,24 +22,21 @@ lines AS (SELECT document_id, unnest(ls) AS content, generate_subscripts(ls, 1)
 layout AS (SELECT *, CASE WHEN regexp_matches(content, '\\$[^$]+\\$') OR contains(content, '\\begin') OR regexp_matches(content, '^\\\\[A-Za-z]+') THEN 'formula' ELSE 'text' END AS block_type FROM lines)"""
 
 
-def _level_sql() -> str:
-    t = "content"
-    bare = f"replace({t}, '[HEADING] ', '')"
-    m = f"starts_with({t}, '[HEADING]')"
-    out = "CASE"
-    for i, p in enumerate(text.CHAPTERS):
-        out += f" WHEN {m} AND regexp_matches({bare}, {quoted(p)}) THEN {min(i // 2 + 1, 2)}"
-    for p in text.SUBHEADINGS:
-        out += f" WHEN {m} AND regexp_matches({bare}, {quoted(p)}) THEN 3"
-    out += f" WHEN {m} THEN CASE WHEN length({bare}) <= 30 THEN 2 ELSE 1 END"
-    for i, p in enumerate(text.CHAPTERS):
-        out += f" WHEN regexp_matches({t}, {quoted(p)}) AND length({t}) <= 60 THEN {min(i // 2 + 1, 2)}"
-    for p in text.SUBHEADINGS:
-        out += f" WHEN regexp_matches({t}, {quoted(p)}) AND length({t}) <= 40 THEN 3"
-    return out + f" WHEN length({t}) <= 25 AND NOT regexp_matches({t}, '[。！？；，、]$') THEN 3 ELSE 0 END"
-
-
-LEVELS = f"{LINES}, levels AS (SELECT *, CASE WHEN block_type = 'formula' THEN 0 ELSE {_level_sql()} END AS level FROM layout)"
+#: The level of a layout line, from the rule itself: numbered chapters and sections open level 1, numbered or
+#: lettered items with a title level 2, list marks level 3; the least level that fits holds.
+LEVEL_SQL = r"""
+    coalesce(
+        least(
+            CASE WHEN (marked OR chars <= 60) AND regexp_matches(title, '^第[一二三四五六七八九十0-9]+[章节]\s*.') THEN 1 END,
+            CASE WHEN (marked OR chars <= 60) AND regexp_matches(title, '^([0-9]+(\.[0-9]+)?(\.[0-9]+)?\s+|[一二三四五六七八九十]、\s*|[(（][一二三四五六七八九十0-9]+[)）]\s*|[A-D][.、]\s*)\S') THEN 2 END,
+            CASE WHEN (marked OR chars <= 40) AND regexp_matches(title, '^([(（][0-9]+[)）]|[0-9]+[.、)]\s*\S|[①-⑩])') THEN 3 END),
+        CASE WHEN marked THEN CASE WHEN chars > 30 THEN 1 ELSE 2 END
+             WHEN chars > 25 OR right(title, 1) IN ('。', '！', '？', '；', '，', '、') THEN 0
+             ELSE 3 END)"""
+TITLES = "SELECT *, length(title) AS chars FROM (SELECT *, starts_with(content, '[HEADING]') AS marked, CASE WHEN starts_with(content, '[HEADING]') THEN replace(content, '[HEADING] ', '') ELSE content END AS title FROM layout)"
+
+
+LEVELS = f"{LINES}, levels AS (SELECT * EXCLUDE (marked, title, chars), CASE WHEN block_type = 'formula' THEN 0 ELSE {LEVEL_SQL} END AS level FROM ({TITLES}))"
 
 
 @query("s08_layout", f"WITH {LINES} SELECT document_id, reading_order::INT AS reading_order, block_type, md5(content) AS content_md5 FROM layout")

@@ -38,6 +38,21 @@ def test_heading_levels(spark, line, level):
     assert values(spark, [(line,)], "t string", text.heading_level(F.col("t"))) == [level]
 
 
+def test_heading_levels_against_sql(spark):
+    import duckdb
+
+    from quarry.plans import ingestion
+
+    starts = ["第三章", "第12节 ", "第章 ", "1.2.3 ", "1.2.3.4 ", "7 ", "三、", "十", "（二）", "(12)", "B.", "E.", "9、", "4)", "⑩", "⑪", "Plain "]
+    lines = [m + s + body for m in ("", "[HEADING] ", "[HEADING]") for s in starts for body in ("", "x", "x。", "y" * 24, "y" * 35, "y" * 45, "y" * 70)]
+    found = values(spark, [(line,) for line in lines], "t string", text.heading_level(F.col("t")))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lines (n INT, content VARCHAR)")
+    con.executemany("INSERT INTO lines VALUES (?, ?)", [[n, line.strip()] for n, line in enumerate(lines)])
+    want = con.execute(f"WITH layout AS (SELECT * FROM lines) SELECT {ingestion.LEVEL_SQL} FROM ({ingestion.TITLES}) ORDER BY n").fetchall()
+    assert found == [w for (w,) in want] and set(found) == {0, 1, 2, 3}
+
+
 def test_question(spark):
     body = ["1. 选择正确的 (5分)", "A. one B. two C. three D. four", "答案：B", "知识点：索引", "2、计算 x", "1. 选择正确的 (5分)", "again", "第一章 x"]
     lay = spark.createDataFrame([(1, 1, i, "text", t, 1.0) for i, t in enumerate(body)], "document_id long, page_no int, reading_order int, block_type string, content string, confidence double")
