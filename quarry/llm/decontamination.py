@@ -270,7 +270,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     words, match nothing. Each different pair of id and text is an item; its id may be null or
     another item's, too. A benchmark of over ``most_words`` words is searched in passes of about so many, each
     written before the next, with the statistics of the whole; results are the same. A
-    column already named ``result`` is replaced; others stay as they are.
+    column already named ``result`` is replaced; others stay as they are. An empty table gives an empty
+    table, an empty benchmark empty arrays; a very long text is searched in all its passages.
     """
 
     def search(text: Column, index: Index) -> Column:

@@ -222,7 +222,8 @@ def pseudonyms(documents: DataFrame, key: bytes | None = None, result: str = "pi
     Cards must pass their check digit, dates and addresses exist, numbers have a possible
     length; what fails stays as it is. With ``back`` the same key restores the text. A null
     text stays null with none found. Rows are handled one by one, so repeated rows and null
-    ids need no rule. A column already named ``result`` is replaced. The key is the parameter, else the
+    ids need no rule, and an empty table gives an empty table; a very long text is searched
+    whole. A column already named ``result`` is replaced, others stay as they are. The key is the parameter, else the
     session's ``SETTING``, else the public demonstration key.
     """
     key = key or documents.sparkSession.conf.get(SETTING, "").encode() or KEY

@@ -117,7 +117,8 @@ def line_quality(documents: DataFrame, result: str = "quality") -> DataFrame:
     (enough words, few of them in repeated 3-word windows) and failing lines hold at most
     ``MAX_LOST_PERCENT`` of its words. Lines without words are neither good nor bad, and go.
     A null text counts as empty and fails the base. Rows are judged one by one, so repeated
-    rows and null ids need no rule. A column already named ``result`` is replaced.
+    rows and null ids need no rule, and an empty table gives an empty table; a very long text
+    is judged whole. A column already named ``result`` is replaced, others stay as they are.
     """
     return documents.withColumn(result, _judged(F.col("text").cast("string")))
 

@@ -196,7 +196,8 @@ def recounted(documents: DataFrame, edits: Column | Callable[[str | None], list[
     as empty; null edits are none. Leaves that no edit touches keep their counts, and
     ``n_reencoded`` says how many characters were encoded again. Rows are handled one by one, so
     repeated rows and null ids need no rule. A column already named ``result`` is replaced;
-    other columns stay as they are.
+    other columns stay as they are. An empty table gives an empty table; a very long text has a
+    larger tree, of which an edit touches few leaves.
     """
     path = vocabulary_path(vocabulary)
     kind = to_arrow_type(_parse_datatype_string(COUNTS))
