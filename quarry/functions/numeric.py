@@ -49,3 +49,8 @@ def cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
 
 def backoff(attempt: Column, base: float = 0.8) -> Column:
     return F.lit(base) * F.pow(F.lit(2.0), attempt)
+
+
+def half_up(x: Column, places: int) -> Column:
+    """``x`` in steps of 10**-places, halves away from 0, as SQL's round of a double: decided on the scaled double, not on its decimal digits."""
+    return F.round(x * float(10**places)) / float(10**places)

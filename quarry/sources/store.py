@@ -19,6 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Folders of a bucket from which on it is written as one again.
+PIECES = 16
+
+
+def _several(folders: str | list[str]) -> list[str]:
+    """A bucket's folders; manifests of earlier versions name one."""
+    return folders if isinstance(folders, list) else [folders]
+
+
 class Conflict(RuntimeError):
     """Another writer has committed since this one read the state."""
 
@@ -57,7 +66,7 @@ class Store:
         entry = (state or self.manifest())["tables"].get(table)
         if not entry:
             return self.spark.createDataFrame([], schema)
-        folders = entry["folders"] if isinstance(entry["folders"], list) else [f"{f}/bucket={b}" for b, f in entry["folders"].items()]
+        folders = entry["folders"] if isinstance(entry["folders"], list) else [f"{f}/bucket={b}" for b, fs in entry["folders"].items() for f in _several(fs)]
         paths, reader = [f"{self.path}/data/{f}" for f in folders], self.spark.read.schema(schema)
         if entry.get("by"):  # each folder has folders of values of its own
             return reduce(DataFrame.unionByName, [reader.parquet(p) for p in paths])
@@ -92,21 +101,28 @@ class Commit:
         return F.pmod(F.xxhash64(*keys), F.lit(self.store.buckets)).cast("int")
 
     def upsert(self, table: str, rows: DataFrame, keys: list[str]) -> None:
-        """Puts ``rows``, one for each key, in place of those with their keys; only the buckets that have such keys are written anew."""
+        """Puts ``rows``, one for each key, in place of those with their keys.
+
+        Only the buckets that have such keys, or ``PIECES`` folders already, are written anew; others get the new rows as one more folder.
+        """
         new = rows.withColumn("bucket", self.bucket(*keys))
-        staged = f"{table}-{uuid.uuid4().hex}"
+        staged, read = f"{table}-{uuid.uuid4().hex}", self.store.spark.read
         new.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.store.path}/data/{staged}-new")
-        new = self.store.spark.read.schema(new.schema).parquet(f"{self.store.path}/data/{staged}-new")
+        new = read.schema(new.schema).parquet(f"{self.store.path}/data/{staged}-new")
         touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # a store has a fixed number of buckets
         held = self.tables.get(table, {"folders": {}})["folders"]
-        old = [f"{self.store.path}/data/{held[str(b)]}/bucket={b}" for b in touched if str(b) in held]
-        folder = f"{staged}-new"
+        paths = lambda bs: [f"{self.store.path}/data/{f}/bucket={b}" for b in bs for f in _several(held[str(b)])]
+        old = [b for b in touched if str(b) in held]
+        anew = set()
         if old:
-            kept = self.store.spark.read.schema(rows.schema).parquet(*old).join(rows.select(*keys), keys, "left_anti")
-            both = kept.withColumn("bucket", self.bucket(*keys)).unionByName(new)
+            shared = read.schema(rows.schema).parquet(*paths(old)).join(new.select(*keys), keys, "left_semi")
+            anew = {r["b"] for r in shared.select(self.bucket(*keys).alias("b")).distinct().collect()}
+            anew |= {b for b in old if len(_several(held[str(b)])) >= PIECES}
+        if anew:
+            kept = read.schema(rows.schema).parquet(*paths(sorted(anew))).join(new.select(*keys), keys, "left_anti")
+            both = kept.withColumn("bucket", self.bucket(*keys)).unionByName(new.where(F.col("bucket").isin(sorted(anew))))
             both.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.store.path}/data/{staged}")
-            folder = staged
-        self.tables[table] = {"folders": held | {str(b): folder for b in touched}}
+        self.tables[table] = {"folders": held | {str(b): [staged] if b in anew else [*_several(held.get(str(b), [])), f"{staged}-new"] for b in touched}}
 
     def finish(self) -> int:
         """Puts all changes in force at once and gives the new version; raises ``Conflict`` if the state has changed since."""

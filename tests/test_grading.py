@@ -148,3 +148,31 @@ def test_a_key_over_many_parts(spark, many_parts):
         after = (grid(min(1, max(0, 0.7 * level + 0.3 * ratio))), streak + 1 if ratio >= 0.8 else 0, ratio) if counts else (level, streak, last)
         want[k, at], now[k] = (level, after[0], streak, after[1], last), after
     assert got == want
+
+
+def test_ratios_are_rounded_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    values = [17.0, 23.0, 29.0, 81.0, 115.0, 137.0, 187.0, 24.6]
+    store = Store(spark, f"file://{tmp_path}/s", 4)
+    data = [(i, f"k{i}", "i", "p", T0, i, "", v / 20, 10.0, 1.0, False) for i, v in enumerate(values)]
+    G.submit(store, spark.createDataFrame(data, G.REQUEST))
+    got = {r["user_id"]: r["last_ratio"] for r in store.read("mastery", G.SCHEMAS["mastery"]).collect()}
+    assert got == {i: duckdb.execute("select round(?::double / 20 / 10, 2)", [v]).fetchone()[0] for i, v in enumerate(values)}
+
+
+def test_an_upsert_of_new_keys_leaves_folders_as_they_are(spark, tmp_path):
+    store, schema = Store(spark, f"file://{tmp_path}/s", 2), "k long, v long"
+
+    def put(keys, v):
+        commit = store.begin()
+        commit.upsert("t", spark.createDataFrame([(k, v) for k in keys], schema), ["k"])
+        commit.finish()
+        return store.manifest()["tables"]["t"]["folders"]
+
+    one = put(range(20), 0)
+    two = put(range(20, 40), 1)
+    assert all(set(one[b]) < set(two[b]) for b in one)
+    three = put(range(10, 30), 2)
+    assert all(len(f) == 1 for f in three.values())
+    assert {(r["k"], r["v"]) for r in store.read("t", schema).collect()} == {(k, 0 if k < 10 else 2 if k < 30 else 1) for k in range(40)}
