@@ -75,3 +75,23 @@ def test_large_groups_in_several_components(spark, monkeypatch, pairs):
     assert got == kept_by_all_pairs(texts)
     assert 100 < len(got) < len(texts)
     assert sum(compared) < 20 * len(texts), compared
+
+
+def test_pairs_by_simhash_are_compared(spark, monkeypatch):
+    """Of the texts' fingerprints those within 2 bits give candidates, among them the near copies that they reach."""
+    from quarry.llm import simhash
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    near = [*base]
+    near[399] = "other"
+    texts = [" ".join(base), " ".join(near), " ".join(base).upper(), " ".join(f"v{rng.randrange(5000)}" for _ in range(300)), "one two", "one three"]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    fp = {r["doc_id"]: r["fp"] % (1 << 64) for r in simhash.fingerprints(df.withColumnRenamed("node", "doc_id")).collect()}
+    want = {(a, b) for a in fp for b in fp if a < b and bin(fp[a] ^ fp[b]).count("1") <= 2}
+    got = {(r["a"], r["b"]) for r in near_copies.by_fingerprint(df).collect()}
+    assert (0, 2) in got and got <= want and {x for p in got for x in p} == {x for p in want for x in p}
+    used, plain = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps: used.append(1) or plain(fps))
+    kept = {r["doc_id"] for r in near_copies.keep_one(df.withColumnRenamed("node", "doc_id")).collect()}
+    assert used and kept == {0, 3, 4, 5}
