@@ -8,10 +8,11 @@ whose first words are longest.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,16 +127,31 @@ def fit(words: DataFrame, column: str = "word", most: int = MOST, longest: int =
     return Segmenter({r["word"]: r["n"] for r in kept}, total)
 
 
+def pieces_of(tokens: pa.Array, most: int = TOGETHER) -> Iterator[pa.Array]:
+    """Slices of an array of token lists with about ``most`` bytes of tokens each (a longer list stays whole), so that few are Python strings at a time."""
+    size = np.asarray(pc.fill_null(pc.binary_length(tokens.flatten()), 0), np.int64)
+    count = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), np.int64)
+    total = np.r_[0, np.cumsum(size)][np.cumsum(count)]
+    at = 0
+    while at < len(tokens):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield tokens.slice(at, end - at)
+        at = end
+
+
 def word_splitter(segmenter: Segmenter, spark) -> Callable[[Column], Column]:
     """As ``text.words``, with runs of ideographs cut into words: stop words and words of one character go. Null and empty texts have none."""
     shared = spark.sparkContext.broadcast(segmenter)
 
-    @F.pandas_udf("array<string>")
-    def split(tokens: pd.Series) -> pd.Series:
-        rows = [list(r) for r in tokens]
+    def of(tokens: pa.Array) -> pa.Array:
+        rows = tokens.to_pylist()
         runs = [t for r in rows for t in r if IDEOGRAPHS.match(t)]
         found = iter(shared.value.segment(runs))
-        return pd.Series([[w for t in r for w in (next(found) if IDEOGRAPHS.match(t) else [t])] for r in rows])
+        return pa.array([[w for t in r for w in (next(found) if IDEOGRAPHS.match(t) else [t])] for r in rows], pa.list_(pa.string()))
+
+    @F.arrow_udf("array<string>")
+    def split(tokens: pa.Array) -> pa.Array:
+        return pa.concat_arrays([of(part) for part in pieces_of(tokens)] or [pa.array([], pa.list_(pa.string()))])
 
     def words(column: Column) -> Column:
         pieces = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(text.TOKEN), 1)

@@ -62,3 +62,13 @@ def test_recall_before_and_after(spark):
     wanted, run, word = (sum(r[c] for r in rows) for c in ("n_wanted", "n_by_run", "n_by_word"))
     print("recall by run", run / wanted, "by word", word / wanted)
     assert word > 0.6 * wanted and word > 2 * run
+
+
+def test_token_lists_are_worked_on_in_slices():
+    import pyarrow as pa
+
+    lists = [["ab"] * n for n in (3, 0, 50, 1, 1)] + [None, ["c", None]]
+    array = pa.array([["x"], *lists], pa.list_(pa.string())).slice(1)
+    parts = [p.to_pylist() for p in S.pieces_of(array, 8)]
+    assert sum(parts, []) == lists and all(len(p) == 1 or sum(len(t or "") for r in p for t in r or []) <= 8 for p in parts)
+    assert list(S.pieces_of(array.slice(0, 0), 8)) == []
