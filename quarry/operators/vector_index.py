@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import numeric
 from quarry.operators.keyword_index import without_dead
-from quarry.operators.retrieval import cosine_top, top
+from quarry.operators.retrieval import cosine_top, sliced, top
 from quarry.sources.store import Commit, Store
 from quarry.sources.tables import written
 
@@ -127,7 +127,7 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for batch in batches:
+            for batch in sliced(batches, len(q)):
                 unit, fits = _units(batch.column("embedding"), q.shape[1])
                 cell, id_ = (batch.column(c).to_numpy(zero_copy_only=False)[fits] for c in ("cell", "chunk_id"))
                 parts = [best]

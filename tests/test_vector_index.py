@@ -48,3 +48,13 @@ def test_recall_of_the_nearest_cells(spark):
         share = sum(r["n_found"] for r in rows) / sum(r["n_wanted"] for r in rows)
         print(folder, "recall at 20", share)
         assert share >= 0.9
+
+
+def test_tasks_hold_a_bounded_number_of_scores():
+    import pyarrow as pa
+
+    from quarry.operators import retrieval
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["x"])
+    parts = list(retrieval.sliced(iter([batch]), 1024))
+    assert max(p.num_rows for p in parts) * 1024 <= retrieval.HELD and [x for p in parts for x in p.column(0).to_pylist()] == list(range(10_000))
