@@ -71,7 +71,7 @@ def index_remove(spark, d):
 
 @query("t02_bm25_topk", f"WITH {BM25_SQL} SELECT query_id, rank::INT AS rank, chunk_id, round_even(score, 6) AS score FROM words")
 def bm25_top(spark, d):
-    return R.top(R.bm25_scores(frames.queries(spark, d), frames.chunks(spark, d)), 20).select("query_id", "rank", "chunk_id", score6())
+    return R.bm25_top(frames.queries(spark, d), frames.chunks(spark, d), 20).select("query_id", "rank", "chunk_id", score6())
 
 
 @query("t01_cosine_topk", f"WITH {COSINE_SQL} SELECT query_id, rank::INT AS rank, chunk_id, round_even(score, 6) AS score FROM near")
@@ -89,7 +89,7 @@ def cosine(spark, d):
 @query("j10_rank_fusion", f"WITH {BM25_SQL}, {COSINE_SQL}, {FUSED_SQL} SELECT query_id, chunk_id, round_even(score, 9) AS score FROM fused")
 def fusion(spark, d):
     q = frames.queries(spark, d)
-    words = R.top(R.bm25_scores(q, frames.chunks(spark, d)), 20)
+    words = R.bm25_top(q, frames.chunks(spark, d), 20)
     return R.fuse(R.top(R.cosine_top(q, frames.vectors(spark, d), 20), 20), words).select("query_id", "chunk_id", F.bround("score", 9).alias("score"))
 
 
@@ -234,7 +234,7 @@ def in_ideographs(df, column, spaced):
 
 
 def fitted_words(spark, chunks):
-    found = in_ideographs(chunks, "content", True).select(F.explode(F.regexp_extract_all("content", F.lit("([一-鿿]+)"), F.lit(1))).alias("word"))
+    found = in_ideographs(chunks, "content", True).select(F.explode_outer(F.regexp_extract_all("content", F.lit("([一-鿿]+)"), F.lit(1))).alias("word"))  # rows without a word are no ideographs
     return segmentation.word_splitter(segmentation.fit(found), spark)
 
 
@@ -251,7 +251,7 @@ def segments(spark, d):
 def keyword_recall(spark, d):
     """Of the 20 best chunks of each query when words are known, how many are found without spaces, with runs as tokens and with segmented runs."""
     chunks, queries = frames.chunks(spark, d).select("chunk_id", "content"), frames.queries(spark, d).select("query_id", "query")
-    best = lambda spaced, **how: R.top(R.bm25_scores(in_ideographs(queries, "query", spaced), in_ideographs(chunks, "content", spaced), **how), 20).select("query_id", "chunk_id")
+    best = lambda spaced, **how: R.bm25_top(in_ideographs(queries, "query", spaced), in_ideographs(chunks, "content", spaced), 20, **how).select("query_id", "chunk_id")
     want = best(True).withColumn("wanted", F.lit(1))
     runs, words = best(False).withColumn("by_run", F.lit(1)), best(False, words=fitted_words(spark, chunks)).withColumn("by_word", F.lit(1))
     found = want.join(runs, ["query_id", "chunk_id"], "left").join(words, ["query_id", "chunk_id"], "left")
