@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.sources.tables import written
 
 #: Bounds of a dictionary: its words, and their characters.
 MOST, LONGEST = 100_000, 8
@@ -44,8 +45,17 @@ class Segmenter:
                     edges[key], nodes = nodes, nodes + 1
                 node = edges[key]
             ends[node] = self.weight(n, total)
-        self.keys = np.array(sorted(edges), np.int64)
-        self.to = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        keys = np.fromiter(edges, np.int64, len(edges))
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.to, self.probes = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int32), 0
+        left = np.arange(len(keys))
+        while len(left):  # an edge takes the first of its places that is free
+            place = self.place(keys[left], self.probes)
+            free = self.keys[place] == -1
+            place, at = np.unique(place[free], return_index=True)
+            taken = left[free][at]
+            self.keys[place], self.to[place] = keys[taken], taken + 1  # nodes are numbered as their edges were made
+            left, self.probes = left[~np.isin(left, taken)], self.probes + 1
         self.of_node = np.full(nodes, NONE)
         self.of_node[list(ends)] = list(ends.values())
 
@@ -53,6 +63,23 @@ class Segmenter:
     def weight(n: int, total: int) -> int:
         return round(np.log(n / total) * UNIT)
 
+    def place(self, key: np.ndarray, probe: int) -> np.ndarray:
+        mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed >> np.uint64(64 - self.bits)).astype(np.int64) + probe) & ((1 << self.bits) - 1)
+
+    def follow(self, key: np.ndarray) -> np.ndarray:
+        """The node at the end of each edge; 0 where there is none."""
+        node, left = np.zeros(len(key), np.int64), np.arange(len(key))
+        for probe in range(self.probes):
+            place = self.place(key[left], probe)
+            held = self.keys[place]
+            found = held == key[left]
+            node[left[found]] = self.to[place[found]]
+            left = left[~found & (held != -1)]
+            if not len(left):
+                break
+        return node
+
     def weights(self, points: np.ndarray, left: np.ndarray) -> np.ndarray:
         """For each place and length the weight of the word there; ``left`` is how many characters its run has from it on."""
         out = np.full((len(points), self.longest), NONE)
@@ -60,12 +87,10 @@ class Segmenter:
         for n in range(self.longest):
             inside = left[at] > n
             at, node = at[inside], node[inside]
-            if not len(at) or not len(self.keys):
+            if not len(at):
                 break
-            key = node << 21 | points[at + n]
-            edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[edge] == key
-            at, node = at[known], self.to[edge[known]]
+            node = self.follow(node << 21 | points[at + n])
+            at, node = at[node > 0], node[node > 0]
             out[at, n] = self.of_node[node]
         out[:, 0] = np.where(out[:, 0] == NONE, self.unknown, out[:, 0])
         return out
@@ -79,18 +104,17 @@ class Segmenter:
         # from the end of all runs at once: best sum from each place on, and the length of the word there
         order = np.argsort(-size, kind="stable")
         longest_first, sizes = ends[order], size[order]
-        best = np.zeros(len(points) + len(runs), np.int64)
+        best = np.zeros(len(points) + len(runs) + self.longest, np.int64)
+        after = np.lib.stride_tricks.sliding_window_view(best, self.longest)  # the sums after words of 1, 2, ... characters
         length = np.zeros(len(points), np.int64)
         slot = order  # each run's end has a place of its own
-        for back in range(1, int(size.max(initial=0)) + 1):
-            active = int(np.searchsorted(-sizes, -back, side="right"))
-            place = longest_first[:active] - back
-            total, chosen = np.full(active, 2 * NONE), np.ones(active, np.int64)
-            for n in range(min(self.longest, back), 0, -1):
-                now = weight[place, n - 1] + best[place + slot[:active] + n]
-                better = now > total
-                total, chosen = np.where(better, now, total), np.where(better, n, chosen)
-            best[place + slot[:active]], length[place] = total, chosen
+        first = longest_first + slot
+        active = np.searchsorted(-sizes, -np.arange(1, int(size.max(initial=0)) + 1), side="right").tolist()
+        for back, n in enumerate(active, 1):
+            place, at = longest_first[:n] - back, first[:n] - back
+            total = (weight[place] + after[at + 1])[:, ::-1]  # no word passes its run's end; of equal sums the longest word is met first
+            chosen = total.argmax(1)
+            best[at], length[place] = total[np.arange(n), chosen], self.longest - chosen
         start = np.zeros(len(points), bool)
         at, stop = (ends - size)[size > 0], ends[size > 0]
         while len(at):
@@ -121,7 +145,7 @@ class Segmenter:
 def fit(words: DataFrame, column: str = "word", most: int = MOST, longest: int = LONGEST) -> Segmenter:
     """A segmenter by the words' counts over all rows: the ``most`` most frequent words of ideographs (ties: the smaller first) of up to ``longest`` characters; as many reach the driver."""
     w = F.col(column)
-    counts = words.where(w.rlike("^[一-鿿]+$")).groupBy(w.alias("word")).agg(F.count("*").alias("n"))
+    counts = written(words.where(w.rlike("^[一-鿿]+$")).groupBy(w.alias("word")).agg(F.count("*").alias("n")), "counts")
     total = counts.agg(F.sum("n")).first()[0]
     kept = counts.where(F.length("word") <= longest).orderBy(F.desc("n"), "word").limit(most).collect()
     return Segmenter({r["word"]: r["n"] for r in kept}, total)

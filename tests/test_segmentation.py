@@ -72,3 +72,14 @@ def test_token_lists_are_worked_on_in_slices():
     parts = [p.to_pylist() for p in S.pieces_of(array, 8)]
     assert sum(parts, []) == lists and all(len(p) == 1 or sum(len(t or "") for r in p for t in r or []) <= 8 for p in parts)
     assert list(S.pieces_of(array.slice(0, 0), 8)) == []
+
+
+def test_steps_of_long_runs_cost_a_few_calls():
+    """A run's length is a number of steps, each over few runs; a call for each length of word took most of the time."""
+    import cProfile
+    import pstats
+
+    seg = S.Segmenter({"二三四五六七八": 3, "二三": 5, "三四": 4, "八二": 2})
+    profile = cProfile.Profile()
+    assert profile.runcall(seg.segment, ["二三四五六七八" * 300])[0] == ["二三四五六七八"] * 300
+    assert pstats.Stats(profile).total_calls < 2100 * 7
