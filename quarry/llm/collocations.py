@@ -3,9 +3,9 @@
 Texts are gathered into blocks of one language. A block has, for each of its words, the list of
 places at which it stands. The list of a phrase is extended by a word by merging its places with
 those of the words that follow; the sum of the lists' lengths over all blocks is the phrase's
-exact frequency, and only lists of frequent phrases are kept. No task needs more than a block:
-each is told which of its own phrases are frequent, by a join that takes the frequent ones to all
-tasks only where they have been counted and are few.
+exact frequency, and only lists of frequent phrases are kept. The lists stay where they are: the
+frequent phrases, however many, go to all tasks in parts of bounded size, and a task looks up a
+few blocks at a time in one part after the other.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,8 +29,12 @@ LEAST, LONGEST, KEPT = 100, 5, 2000
 BLOCK = 1 << 21
 #: Bytes of text that a task holds while blocks of several languages fill.
 HELD = 1 << 24
-#: Frequent phrases of a length up to which they go to all tasks; more are joined by key.
-FEW = 1 << 18
+#: Frequent phrases of a length that a task holds at a time.
+FEW = 1 << 21
+#: Phrases of the blocks that a task looks up together, if there are several parts.
+TOGETHER = 1 << 20
+#: A block's row is some MB. Unless told, Parquet looks at the size of what it holds after 100 rows only, and readers take a whole row group.
+LISTS = {"compression": "zstd", "parquet.block.size": str(1 << 22), "parquet.page.size.row.check.min": "1"}
 #: Shares in which the rows of a language are ranked before they meet.
 SALTS = 64
 
@@ -115,38 +120,57 @@ def extended(phrases: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np
     return key[first] // max(1, len(word_sizes)), key[first] % max(1, len(word_sizes)), np.diff(np.r_[first, len(key)]), at[fits][order]
 
 
-STATE = "block long, words array<long>, word_sizes array<int>, word_at binary, keys array<long>, sizes array<int>, at binary"
+STATE = "block long, words array<int>, word_sizes array<int>, word_at binary, keys array<int>, sizes array<int>, at binary"
+
+
+def paired(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """One number for each pair of ids. Ids count from 0 and a frequent phrase takes ``least`` places, so that 2**31 are met in hundreds of billions of words only; that is an error."""
+    if max(prefix.max(initial=0), suffix.max(initial=0)) >= 1 << 31:
+        raise OverflowError("too many frequent phrases of a length")
+    return prefix << 32 | suffix
 
 
 class Told:
-    """A counted, small set of frequent phrases, for all tasks: finds those of a block."""
+    """A part of the counted, frequent phrases of ``k`` words, for all tasks: finds those of a block."""
 
-    def __init__(self, level: DataFrame, k: int):
-        found = level.toArrow()
+    def __init__(self, level: DataFrame, k: int, part: int = 0, parts: int = 1):
+        found, self.part, self.parts = level.toArrow(), part, parts
         gid = found.column("gid").to_numpy()
         if k == 1:
-            self.words: defaultdict[str, dict[str, int]] = defaultdict(dict)
-            for lang, word, i in zip(found.column("lang").to_pylist(), found.column("phrase").to_pylist(), gid.tolist()):
-                self.words[lang][word] = i
+            lang, words = found.column("lang").combine_chunks(), found.column("phrase").combine_chunks()
+            own = {x: pa.compute.indices_nonzero(pa.compute.equal(lang, x)) for x in lang.unique()}
+            self.words = {x.as_py(): (words.take(at), gid[at].astype(np.int32)) for x, at in own.items()}
             return
-        self.words = None
-        self.heads, head = np.unique(found.column("prefix").to_numpy(), return_inverse=True)
-        self.tails, tail = np.unique(found.column("suffix").to_numpy(), return_inverse=True)
-        key = head * max(1, len(self.tails)) + tail
+        key = paired(found.column("prefix").to_numpy(), found.column("suffix").to_numpy())
         order = np.argsort(key)
-        self.key, self.gid = key[order], gid[order]
+        self.key, self.gid = key[order], gid[order].astype(np.int32)
+
+    @staticmethod
+    def dealt(k: int, parts: int):
+        """The part of a phrase, by the columns of its level."""
+        return (F.col("gid") if k == 1 else 31 * F.col("prefix") + F.col("suffix")) % parts
+
+    def of_words(self, lang: str, words: pa.Array) -> np.ndarray:
+        if lang not in self.words:
+            return np.full(len(words), -1, np.int32)
+        own, gid = self.words[lang]
+        at = pa.compute.fill_null(pa.compute.index_in(words, value_set=own.cast(words.type)), -1).to_numpy()
+        return np.where(at < 0, -1, gid[at])
 
-    def of_words(self, lang: str, words: list[str]) -> np.ndarray:
-        own = self.words.get(lang, {})
-        return np.array([own.get(w, -1) for w in words], np.int64)
+    def of_pairs(self, key: np.ndarray) -> np.ndarray:
+        out = np.full(len(key), -1, np.int32)
+        if len(self.key):
+            mine = np.flatnonzero((31 * (key >> 32) + (key & 0xFFFFFFFF)) % self.parts == self.part) if self.parts > 1 else np.arange(len(key))
+            at = np.minimum(np.searchsorted(self.key, key[mine]), len(self.key) - 1)
+            out[mine] = np.where(self.key[at] == key[mine], self.gid[at], -1)
+        return out
 
-    def of_pairs(self, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-        if not len(self.key):
-            return np.full(len(prefix), -1, np.int64)
-        head, tail = (np.minimum(np.searchsorted(known, x), len(known) - 1) for known, x in ((self.heads, prefix), (self.tails, suffix)))
-        key = head * len(self.tails) + tail
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where((self.heads[head] == prefix) & (self.tails[tail] == suffix) & (self.key[at] == key), self.gid[at], -1)
+
+def told_parts(level: DataFrame, keys: list[str], k: int) -> list[Broadcast[Told]]:
+    """The frequent phrases of ``k`` words in parts; one part at a time passes the driver."""
+    n = max(1, -(-level.count() // max(64, FEW)))
+    send = level.sparkSession.sparkContext.broadcast
+    return [send(Told(level.where(Told.dealt(k, n) == i).select("gid", *keys), k, i, n)) for i in range(n)]
 
 
 class Row:
@@ -174,64 +198,76 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
         yield from (Row(batch, i) for i in range(batch.num_rows))
 
 
-def candidates(state: DataFrame, k: int, placed: bool = False) -> DataFrame:
-    """prefix, suffix and m of each block's phrases of k + 1 words, frequent or not; also the block and the phrase's number in it, if ``placed``."""
+def candidates(state: DataFrame, k: int) -> DataFrame:
+    """prefix, suffix and m of each block's phrases of k + 1 words, frequent or not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             prefix, suffix, sizes, _ = row.longer(k)
-            own = {"block": np.full(len(sizes), row.row["block"].as_py(), np.int64), "local": np.arange(len(sizes), dtype=np.int32)} if placed else {}
-            yield pa.RecordBatch.from_pydict({"prefix": prefix, "suffix": suffix, "m": sizes.astype(np.int64), **own})
+            yield pa.RecordBatch.from_pydict({"prefix": prefix, "suffix": suffix, "m": sizes.astype(np.int64)})
 
-    return state.mapInArrow(run, "prefix long, suffix long, m long" + (", block long, local int" if placed else ""))
+    return state.mapInArrow(run, "prefix long, suffix long, m long")
 
 
-def step(state: DataFrame, level: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The lists of each block's frequent phrases of ``k`` words, and the word lists that longer ones may need.
+class Block:
+    """The phrases of ``k`` words of a block and their lists; ``ids`` has those of the frequent ones found so far, -1 for others."""
 
-    Up to ``FEW`` frequent phrases go to all tasks; of more, each block gets its own by joins.
-    """
-    told = None
-    columns = ["block", "keys", "sizes", "at", *(["lang"] if k == 1 else ["words", "word_sizes", "word_at"])]
-    if level.count() <= FEW:
-        told = state.sparkSession.sparkContext.broadcast(Told(level.select("gid", *keys), k))
-        rows = state.select(*columns)
-    else:
-        one = state.select("block", "lang", F.posexplode("keys").alias("local", "phrase")) if k == 1 else candidates(state, k - 1, True)
-        mine = one.join(level.select("gid", *keys), keys).groupBy("block").agg(F.collect_list(F.struct("local", "gid")).alias("f"))
-        rows = state.join(mine.select("block", F.col("f.local").alias("local"), F.col("f.gid").alias("gid")), "block").select(*columns, "local", "gid")
+    def __init__(self, row: Row, k: int):
+        self.row, self.k = row, k
+        if k == 1:
+            self.sizes, self.at = row.numbers("sizes"), row.places("at")
+        else:
+            prefix, suffix, self.sizes, self.at = row.longer(k - 1)
+            self.key = paired(prefix, suffix)
+        self.ids = np.full(len(self.sizes), -1, np.int32)
+
+    def find(self, told: Told) -> None:
+        self.ids = np.maximum(self.ids, told.of_words(self.row.row["lang"].as_py(), self.row.row["keys"].values) if self.k == 1 else told.of_pairs(self.key))
+
+    def kept(self) -> Iterator[pa.RecordBatch]:
+        """The lists of frequent phrases, and the word lists that longer ones may need; nothing, if none is frequent."""
+        row, k, keep = self.row, self.k, np.flatnonzero(self.ids >= 0)
+        if not len(keep):
+            return
+        ids = self.ids[keep]
+        sizes, at = kept_lists(self.sizes, self.at, keep)
+        words = (np.zeros(0, np.int64),) * 3
+        if k > 1:
+            words = (row.numbers("words"), row.numbers("word_sizes"), row.places("word_at")) if k > 2 else (row.numbers("keys"), row.numbers("sizes"), row.places("at"))
+            needed = np.zeros(int(at.max()) + k + 1, bool)  # places right after a phrase
+            needed[at + k] = True
+            near = needed[np.minimum(words[2], len(needed) - 1)] & (words[2] < len(needed))
+            left = np.bincount(_places(words[1])[near], minlength=len(words[0]))
+            some = np.flatnonzero(left)
+            words = (words[0][some], left[some], words[2][near])
+        listed = lambda x: pa.array([x.astype(np.int32)], pa.list_(pa.int32()))
+        lists = [[listed(i), listed(n), pa.array([p.astype(np.int32).tobytes()], pa.binary())] for i, n, p in (words, (ids, sizes, at))]
+        yield pa.RecordBatch.from_arrays([pa.array([row.row["block"].as_py()]), *lists[0], *lists[1]], names=["block", "words", "word_sizes", "word_at", "keys", "sizes", "at"])
+
+
+def step(state: DataFrame, parts: list[Broadcast[Told]], k: int) -> DataFrame:
+    """The lists of each block's frequent phrases of ``k`` words, and the word lists that longer ones may need."""
+
+    def told(held: list[Block]) -> Iterator[pa.RecordBatch]:
+        for part in parts if held else []:
+            for block in held:
+                block.find(part.value)
+            if len(parts) > 1 and getattr(part, "_path", None):  # is read from there again, so that no worker holds all parts
+                vars(part).pop("_value", None)
+        for block in held:
+            yield from block.kept()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for row in rows_of(batches):
-            if k == 1:
-                sizes, at = row.numbers("sizes"), row.places("at")
-            else:
-                prefix, suffix, sizes, at = row.longer(k - 1)
-            if told is None:
-                keep, ids = row.numbers("local"), row.numbers("gid")
-                order = np.argsort(keep)
-                keep, ids = keep[order], ids[order]
-            else:
-                ids = told.value.of_words(row.row["lang"].as_py(), row.row["keys"].as_py()) if k == 1 else told.value.of_pairs(prefix, suffix)
-                keep = np.flatnonzero(ids >= 0)
-                ids = ids[keep]
-            if not len(keep):
-                continue
-            sizes, at = kept_lists(sizes, at, keep)
-            words = (np.zeros(0, np.int64),) * 3
-            if k > 1:
-                words = (row.numbers("words"), row.numbers("word_sizes"), row.places("word_at")) if k > 2 else (row.numbers("keys"), row.numbers("sizes"), row.places("at"))
-                needed = np.zeros(int(at.max()) + k + 1, bool)  # places right after a phrase
-                needed[at + k] = True
-                near = needed[np.minimum(words[2], len(needed) - 1)] & (words[2] < len(needed))
-                left = np.bincount(_places(words[1])[near], minlength=len(words[0]))
-                some = np.flatnonzero(left)
-                words = (words[0][some], left[some], words[2][near])
-            listed = lambda x, kind: pa.array([x], pa.list_(kind))
-            lists = [[listed(i, pa.int64()), listed(n.astype(np.int32), pa.int32()), pa.array([p.astype(np.int32).tobytes()], pa.binary())] for i, n, p in (words, (ids, sizes, at))]
-            yield pa.RecordBatch.from_arrays([pa.array([row.row["block"].as_py()]), *lists[0], *lists[1]], names=["block", "words", "word_sizes", "word_at", "keys", "sizes", "at"])
-
-    return rows.mapInArrow(run, STATE)
+            held.append(Block(row, k))
+            size += len(held[-1].ids)
+            if size >= TOGETHER or len(parts) == 1:
+                yield from told(held)
+                held, size = [], 0
+        yield from told(held)
+
+    return state.select("block", "keys", "sizes", "at", *(["lang"] if k == 1 else ["words", "word_sizes", "word_at"])).mapInArrow(run, STATE)
 
 
 def dense(level: DataFrame) -> DataFrame:
@@ -252,7 +288,7 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
     Rows are not told apart by doc_id: repeated rows count each time. An empty table, or one
     without words, gives none. Columns other than lang and text, whatever their names, are not read.
     """
-    state = stash(blocks_of(documents), "phrase-blocks", compression="zstd")
+    state = stash(blocks_of(documents), "phrase-blocks", **LISTS)
     totals = state.groupBy("lang").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     totals = stash(totals, "phrase-totals", small=True)
     one = state.select("block", "lang", F.posexplode(F.arrays_zip("keys", "sizes")).alias("local", "x")).select("block", "lang", "local", F.col("x.keys").alias("phrase"), F.col("x.sizes").alias("m"))
@@ -272,8 +308,11 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
         if k == longest:
             break
         del counted, one  # nothing else holds their shuffles
-        after = stash(step(state, level, keys, k), "phrase-lists", compression="zstd")
+        parts = told_parts(level, keys, k)
+        after = stash(step(state, parts, k), "phrase-lists", **LISTS)
         unstash(state)
+        for part in parts:
+            part.destroy()
         state, keys = after, ["prefix", "suffix"]
         one = candidates(state, k)
     return every.select("lang", "phrase", "size", "a"), totals

@@ -6,9 +6,11 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +136,44 @@ def test_collocations(spark, monkeypatch, block, few):
     assert len(want) > 30 and got == want
 
 
+def test_lists_stay_where_they_are_in_small_row_groups(spark, monkeypatch):
+    """However many phrases are frequent, lists are neither shuffled nor joined; large rows don't gather in a writer or a reader."""
+    plans, groups, stash = [], [], collocations.stash
+
+    def watched(df, tag, **options):
+        if tag == "phrase-lists":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        back = stash(df, tag, **options)
+        if tag == "phrase-blocks":
+            for f in Path(back.stashed_at.removeprefix("file://")).glob("*.parquet"):
+                found = pq.ParquetFile(f).metadata
+                groups.extend(found.row_group(i).num_rows for i in range(found.num_row_groups))
+        return back
+
+    monkeypatch.setattr(collocations, "stash", watched)
+    monkeypatch.setattr(collocations, "FEW", 0)
+    words = F.transform(F.sequence(F.lit(100_000), F.lit(400_000)), lambda i: F.concat(F.lit("w"), i.cast("string")))  # over 2 MB, a block of its own
+    docs = spark.range(12, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b. a b. a b. "), F.concat_ws(" ", words)).alias("text"), F.lit("en").alias("lang"))
+    phrases, _ = collocations.frequent_phrases(docs, 30, 3)
+    assert {tuple(r) for r in phrases.collect()} == {("en", "a", 1, 36), ("en", "b", 1, 36), ("en", "a b", 2, 36)}
+    assert sum(groups) == 12 and max(groups) <= 4
+    assert len(plans) == 2 and not [p for p in plans if "Exchange" in p or "Join" in p]
+
+
+def test_frequent_phrases_in_several_parts(spark, monkeypatch):
+    parts, told_parts = [], collocations.told_parts
+    monkeypatch.setattr(collocations, "told_parts", lambda *a: parts.append(told_parts(*a)) or parts[-1])
+    monkeypatch.setattr(collocations, "FEW", 0)
+    monkeypatch.setattr(collocations, "BLOCK", 3000)
+    monkeypatch.setattr(collocations, "TOGETHER", 500)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(100 * rng.random() ** 2)}" for _ in range(300)), rng.choice(["en", "fr"])) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in collocations.collocations(df, 8, 4, 300).collect())
+    assert [len(p) > 1 for p in parts[:2]] == [True, True]
+    assert got == brute_collocations(rows, 8, 4, 300)
+
+
 def test_collocations_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert collocations.collocations(empty).collect() == []
